@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from quillspark.llm.bpe import op3_byte_bpe
+from quillspark.llm.quality import OP2_SQL, op2_quality_rules
 from quillspark.llm.token_store import op1_token_store
 
 QUERIES = {
     "op1_token_store": op1_token_store,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_byte_bpe": op3_byte_bpe,
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": OP2_SQL,
 }
-ORACLES: dict[str, str] = {}

@@ -19,7 +19,6 @@ shards.  Rows go through one range exchange on doc_id, carrying packed bits only
 from __future__ import annotations
 
 import heapq
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,27 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.llm.chunks import ChunkCache
 from quillspark.llm.common import discard, scratch_dir, stored, table, worker_cache
 
 BLOCK = 256
 SHARD_TOKENS = 1_000_000
 MAX_BITS = 16
 SHARD_SCHEMA = "part int, seq int, part_start bigint, n bigint, doc_ids array<bigint>, n_tokens array<int>, checkpoints binary, payload binary"
-#: Distinct chunks a worker remembers per generation, and the longest that it keeps.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
-IRREGULAR = re.compile(r"\s\s|[^\S \n]|\x00")
 
 
 # ---------------------------------------------------------------- tokenizing
 
 
-class ChunkEncoder:
-    """Whole-text encoding by a byte-level BPE tokenizer through remembered chunks.
-
-    Before a space that a non-space follows, and around a lone line feed, the
-    tokenizer's pattern always ends a pre-token, so the pieces between such places encode
-    alike in any context.  Texts with other white space are encoded directly.
-    """
+class ChunkEncoder(ChunkCache):
+    """Ids of a tokenizer file of the tokenizers library."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -58,8 +50,7 @@ class ChunkEncoder:
         self.wide = self.tok.get_vocab_size() > 0xFFFF
         self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
         self.sep = self._ids("\n")
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        super().__init__(self._learn, lambda text: self._pack(self._ids(text)))
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -85,28 +76,6 @@ class ChunkEncoder:
                 out[c] = ids[a:b].tobytes()
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if IRREGULAR.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
-        young, old = self.young, self.old
-        unseen = set()
-        for chunks in cut:
-            if chunks is not None:
-                for c in set(chunks).difference(young):
-                    got = old.get(c)
-                    if got is None:
-                        unseen.add(c)
-                    else:
-                        young[c] = got
-        learnt = self._learn(list(unseen))
-        young.update(learnt)
-        find = young.__getitem__
-        out = [self._pack(self._ids(t)) if chunks is None else b"".join(map(find, chunks)) for t, chunks in zip(texts, cut, strict=True)]
-        for c in [c for c in learnt if len(c) > CACHE_CHARS]:
-            del young[c]
-        if len(young) > CACHE_CHUNKS:
-            self.old, self.young = young, {}
-        return out
-
 
 def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
     """``(doc_id, wide, ids BINARY)`` for every row of ``docs(doc_id, text)``.
