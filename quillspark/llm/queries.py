@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from quillspark.llm.bpe import op3_byte_bpe
 from quillspark.llm.quality import OP2_SQL, op2_quality_rules
+from quillspark.llm.mixing import OP7_SQL, op7_mix_sources
 from quillspark.llm.token_store import op1_token_store
+from quillspark.llm.urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op7_mix_sources": op7_mix_sources,
+    "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op7_mix_sources": OP7_SQL,
+    "op10_url_filter": OP10_SQL,
 }
