@@ -5,18 +5,23 @@ from __future__ import annotations
 from quillspark.llm.bpe import op3_byte_bpe
 from quillspark.llm.quality import OP2_SQL, op2_quality_rules
 from quillspark.llm.mixing import OP7_SQL, op7_mix_sources
+from quillspark.llm.secrets import OP6_SQL, op6_secret_scan
 from quillspark.llm.token_store import op1_token_store
+from quillspark.llm.toxicity import op5_toxicity
 from quillspark.llm.urls import OP10_SQL, op10_url_filter
 
 QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_toxicity": op5_toxicity,
+    "op6_secret_scan": op6_secret_scan,
     "op7_mix_sources": op7_mix_sources,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
+    "op6_secret_scan": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
     "op10_url_filter": OP10_SQL,
 }
