@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quillspark.llm.bpe import op3_byte_bpe
+from quillspark.llm.pii import op4_personal_data
 from quillspark.llm.quality import OP2_SQL, op2_quality_rules
 from quillspark.llm.mixing import OP7_SQL, op7_mix_sources
 from quillspark.llm.secrets import OP6_SQL, op6_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_token_store": op1_token_store,
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_personal_data": op4_personal_data,
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_mix_sources": op7_mix_sources,
