@@ -10,6 +10,7 @@ from quillspark.llm.secrets import OP6_SQL, op6_secret_scan
 from quillspark.llm.token_store import op1_token_store
 from quillspark.llm.toxicity import op5_toxicity
 from quillspark.llm.urls import OP10_SQL, op10_url_filter
+from quillspark.llm.vectors import OP9_SQL, op9_embedding_near_dedup
 
 QUERIES = {
     "op1_token_store": op1_token_store,
@@ -19,11 +20,13 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op6_secret_scan": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op9_embedding_near_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
 }
