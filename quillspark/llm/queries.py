@@ -5,6 +5,7 @@ from __future__ import annotations
 from quillspark.llm.bpe import op3_byte_bpe
 from quillspark.llm.pii import op4_personal_data
 from quillspark.llm.quality import OP2_SQL, op2_quality_rules
+from quillspark.llm.jaccard import OP8_SQL, op8_jaccard_join
 from quillspark.llm.mixing import OP7_SQL, op7_mix_sources
 from quillspark.llm.secrets import OP6_SQL, op6_secret_scan
 from quillspark.llm.token_store import op1_token_store
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5_toxicity,
     "op6_secret_scan": op6_secret_scan,
     "op7_mix_sources": op7_mix_sources,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_embedding_near_dedup": op9_embedding_near_dedup,
     "op10_url_filter": op10_url_filter,
 }
@@ -27,6 +29,7 @@ ORACLES: dict[str, str] = {
     "op2_quality_rules": OP2_SQL,
     "op6_secret_scan": OP6_SQL,
     "op7_mix_sources": OP7_SQL,
+    "op8_jaccard_join": OP8_SQL,
     "op9_embedding_near_dedup": OP9_SQL,
     "op10_url_filter": OP10_SQL,
 }
