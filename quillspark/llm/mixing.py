@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_enough, stored, table, word_count
+from quillspark.llm.common import discard, small_enough, stored, table, word_count
 
 WEIGHTS, CAP, SEED = (5, 2, 1), 3, "mix-1"
 
@@ -66,6 +66,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] =
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = base.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
     ranged = stored(ranged.drop("_tie"), "mix_order").withColumn("_part", F.shiftright("_at", 33))
+    discard(base)
     held = ranged.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"), F.sum("_size").alias("words"))
     held = stored(held.coalesce(1), "mix_parts")
     sizes = held.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
