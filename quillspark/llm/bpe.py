@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.chunks import ChunkCache
+from quillspark.llm.chunks import ChunkCache, slices
 from quillspark.llm.common import table, worker_cache
 
 
@@ -76,7 +76,7 @@ class BpeEncoder(ChunkCache):
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(ranks)))
         self.split = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        super().__init__(self._learn, self._direct)
+        super().__init__(np.dtype("<u4"), self._learn, self._direct)
 
     def _pretokens(self, text: str) -> list[str]:
         return [piece for piece, _ in self.split.pre_tokenize_str(text)]
@@ -99,9 +99,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_cache(f"bpe:{ranks}:{pattern}", lambda: BpeEncoder(ranks, pattern))
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.encode([t or "" for t in b.column(1).to_pylist()]), pa.binary())], ["doc_id", "ids"])
+            for b in slices(whole, 1):
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.encode(b.column(1)), pa.binary())], ["doc_id", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 

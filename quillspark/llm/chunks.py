@@ -2,12 +2,28 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-#: Distinct chunks that a worker remembers per generation, and the longest that it keeps.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 64
-IRREGULAR = re.compile(r"\s\s|[^\S \n]|\x00")
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: The longest chunk that a worker remembers.
+CACHE_CHARS = 32
+#: Texts encoded at once: rows, and bytes beyond which a smaller slice is taken.
+ROWS, BYTES = 2048, 4_000_000
+IRREGULAR = r"[ \n][ \n]|[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Consecutive slices of a batch with a bounded sum of text bytes (or one row)."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros(0)
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, min(at + ROWS, int(np.searchsorted(ends, before + BYTES, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
 
 
 class ChunkCache:
@@ -16,32 +32,52 @@ class ChunkCache:
     The pre-token pattern of these vocabularies always ends a pre-token before a space
     that a non-space follows and around a lone line feed, so the pieces between such
     places encode alike in any context.  Texts with other white space, with runs of it or
-    with NUL are encoded directly.  Two generations of chunks bound the memory.
+    with NUL are encoded directly.  Each distinct chunk of a slice is looked up once; two
+    generations of remembered chunks bound the memory.
     """
 
-    def __init__(self, learn: Callable[[list[str]], dict[str, bytes]], direct: Callable[[str], bytes]):
-        self.learn, self.direct = learn, direct
+    def __init__(self, dtype: np.dtype, learn: Callable[[list[str]], dict[str, bytes]], direct: Callable[[str], bytes], keep: int = 200_000):
+        """``keep``: distinct chunks remembered per generation."""
+        self.dtype, self.learn, self.direct, self.keep = dtype, learn, direct, keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if IRREGULAR.search(t) else t.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") for t in texts]
-        young, old = self.young, self.old
-        unseen = set()
-        for chunks in cut:
-            if chunks is not None:
-                for c in set(chunks).difference(young):
-                    got = old.get(c)
-                    if got is None:
-                        unseen.add(c)
-                    else:
-                        young[c] = got
-        learnt = self.learn(list(unseen))
-        young.update(learnt)
-        find = young.__getitem__
-        out = [self.direct(t) if chunks is None else b"".join(map(find, chunks)) for t, chunks in zip(texts, cut, strict=True)]
-        for c in [c for c in learnt if len(c) > CACHE_CHARS]:
-            del young[c]
-        if len(young) > CACHE_CHUNKS:
-            self.old, self.young = young, {}
-        return out
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """Packed ids of each text; a null text has none."""
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, IRREGULAR)
+        plain = iter(self._plain(texts.filter(pc.invert(odd))))
+        return [self.direct(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.to_pylist(), strict=True)]
+
+    def _plain(self, texts: pa.StringArray) -> list[bytes]:
+        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+        split = pc.split_pattern(marked, "\x00")
+        coded = split.flatten().dictionary_encode()
+        packed = self._find(coded.dictionary.to_pylist())
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        count = size[which]
+        ends = np.concatenate([[0], np.cumsum(count)])
+        take = np.repeat((start[which] - ends[:-1]).astype(np.int32), count)
+        take += np.arange(len(take), dtype=np.int32)
+        ids = np.frombuffer(b"".join(packed), self.dtype)[take]
+        edges = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+    def _find(self, chunks: list[str]) -> list[bytes]:
+        got = list(map(self.young.get, chunks))
+        if None in got:
+            lost = [k for k, g in enumerate(got) if g is None]
+            for k in lost:
+                got[k] = self.old.get(chunks[k])
+            learnt = self.learn([chunks[k] for k in lost if got[k] is None])
+            for k in lost:
+                c = chunks[k]
+                if got[k] is None:
+                    got[k] = learnt[c]
+                if len(c) <= CACHE_CHARS:
+                    self.young[c] = got[k]
+            if len(self.young) > self.keep:
+                self.old, self.young = self.young, {}
+        return got

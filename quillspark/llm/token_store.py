@@ -13,13 +13,15 @@ Format of a token store (a directory):
                unsigned 64-bit checkpoint.  Blocks decode independently.
 
 Ids are counted over the whole corpus before any is written, so one codebook serves all
-shards.  Rows go through one range exchange on doc_id, carrying packed bits only.
+shards.  Ids go through one range exchange on doc_id, two bytes each, and are packed after it.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from struct import pack as pack_ids
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,15 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.chunks import ChunkCache
+from quillspark.llm.bpe import byte_characters
+from quillspark.llm.chunks import ChunkCache, slices
 from quillspark.llm.common import discard, scratch_dir, stored, table, worker_cache
 
 BLOCK = 256
-SHARD_TOKENS = 1_000_000
+SHARD_TOKENS, SHARD_DOCS = 1_000_000, 100_000
 MAX_BITS = 16
 SHARD_SCHEMA = "part int, seq int, part_start bigint, n bigint, doc_ids array<bigint>, n_tokens array<int>, checkpoints binary, payload binary"
 
 
+#: One word of Latin letters, which is one pre-token, and a mark that is another.
+PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
+
+
 # ---------------------------------------------------------------- tokenizing
 
 
@@ -48,9 +55,13 @@ class ChunkEncoder(ChunkCache):
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.wide = self.tok.get_vocab_size() > 0xFFFF
-        self.dtype = np.dtype("<u4") if self.wide else np.dtype("<u2")
-        self.sep = self._ids("\n")
-        super().__init__(self._learn, lambda text: self._pack(self._ids(text)))
+        self.code = "I" if self.wide else "H"
+        super().__init__(np.dtype("<u4") if self.wide else np.dtype("<u2"), self._learn, lambda text: self._pack(self._ids(text)), keep=400_000)
+        self.shown = {b: c for b, c in enumerate(byte_characters())}
+        self.marks = {c: self._ids(c)[0] for c in ".,"}
+        # the short cut is taken only where the file's settings are those it assumes
+        pre = self.tok.pre_tokenizer
+        self.byte_level = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tok.normalizer is None
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -59,21 +70,24 @@ class ChunkEncoder(ChunkCache):
         return np.asarray(ids, self.dtype).tobytes()
 
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
-        """Encode unseen chunks, many in one string with line feeds between."""
-        out, joined = {}, []
+        """Encode unseen chunks: a lone word by the model itself, others in one call."""
+        out: dict[str, bytes] = {}
+        model, plain = self.tok.model.tokenize, PLAIN.fullmatch
+        rest = []
         for c in chunks:
-            if not c:
-                out[c] = b""
-            elif c.isspace() or len(self.sep) != 1:
-                out[c] = self._pack(self._ids(c))
-            else:
-                joined.append(c)
-        for k in range(0, len(joined), 2000):
-            part = joined[k : k + 2000]
-            ids = np.asarray(self._ids("\n" + "\n".join(part)), self.dtype)
-            ends = np.append(np.flatnonzero(ids == self.sep[0]), len(ids))
-            for c, a, b in zip(part, ends[:-1] + 1, ends[1:], strict=True):
-                out[c] = ids[a:b].tobytes()
+            m = plain(c) if self.byte_level else None
+            if m is None:
+                rest.append(c)
+                continue
+            space, word, mark = m.groups()
+            if not word.isascii():
+                word = word.encode().decode("latin-1").translate(self.shown)
+            ids = [t.id for t in model("\u0120" + word if space else word)]
+            out[c] = pack_ids(f"<{len(ids) + len(mark)}{self.code}", *ids, *map(self.marks.__getitem__, mark))
+        for k in range(0, len(rest), 2000):
+            part = rest[k : k + 2000]
+            for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                out[c] = self._pack(e.ids)
         return out
 
 
@@ -88,9 +102,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> Data
         enc = worker_cache(f"chunks:{tokenizer}", lambda: ChunkEncoder(tokenizer))
         tail = b"" if end_id is None else np.asarray([end_id], enc.dtype).tobytes()
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                b = whole.slice(k, 256)
-                ids = enc.encode([t or "" for t in b.column(1).to_pylist()])
+            for b in slices(whole, 1):
+                ids = enc.encode(b.column(1))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.wide] * b.num_rows), pa.array([x + tail for x in ids], pa.binary())], ["doc_id", "wide", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary")
@@ -229,46 +242,35 @@ def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
     lengths = code_lengths({r.id: r.n for r in rows}, max_bits)
     spark.createDataFrame([(i, n) for i, n in sorted(lengths.items())], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        book = Codebook(lengths)
-        for b in batches:
-            n, marks, bits = [], [], []
-            for wide, raw in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
-                body, at = book.pack(ids)
-                n.append(len(ids))
-                bits.append(body)
-                marks.append(at.astype("<u8").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())], ["doc_id", "n", "marks", "body"])
-
-    packed = tokens.mapInArrow(pack, "doc_id long, n int, marks binary, body binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = packed.repartitionByRange(parts, "doc_id", F.xxhash64("body")).sortWithinPartitions("doc_id", F.xxhash64("body"), "body")
+    ordered = tokens.repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, seq, before = TaskContext.get().partitionId(), 0, 0
+        book = Codebook(lengths)
         docs: list = []
-        size = held = 0
+        size = 0
 
         def close() -> pa.RecordBatch:
             start, marks = 0, []
             for _, _, m, body in docs:
-                marks.append(np.frombuffer(m, "<u8") + np.uint64(8 * start))
+                marks.append(m + np.uint64(8 * start))
                 start += len(body)
             one = [[part], [seq], [before], [size], [[d[0] for d in docs]], [[d[1] for d in docs]], [np.concatenate(marks).astype("<u8").tobytes()], [b"".join(d[3] for d in docs)]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()), strict=True)], SHARD_SCHEMA.replace(",", " ").split()[::2])
 
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                docs.append(row)
-                size += row[1]
-                held += 1
-                if size >= SHARD_TOKENS or held >= 100_000:
+            for doc, wide, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
+                body, marks = book.pack(ids)
+                docs.append((doc, len(ids), marks, body))
+                size += len(ids)
+                if size >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
                     yield close()
                     before += size
-                    docs, size, held, seq = [], 0, 0, seq + 1
+                    docs, size, seq = [], 0, seq + 1
         if docs:
             yield close()
 
