@@ -14,6 +14,7 @@ class weighted back to its share of all training labels.  Scoring covers every r
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from quillspark.llm.common import table
 
 #: The bound of the training sample: rows taken of label 1 and of label 0.
-SAMPLE = (2000, 4000)
-MIN_DOCS, MAX_FEATURES, STEPS, RATE, SPARSITY = 3, 50_000, 200, 0.1, 3e-4
+SAMPLE = (1000, 2000)
+MIN_DOCS, MAX_FEATURES, STEPS, RATE, SPARSITY = 3, 50_000, 150, 0.1, 3e-4
 #: ASCII only, so that it holds for UTF-8 bytes: sentence ends to line feeds, other marks to spaces.
 MARKS = bytes(10 if chr(b) in ".!?\n" else 32 if b < 128 and not chr(b).isalnum() and chr(b) != "'" else b for b in range(256))
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -72,26 +73,28 @@ def fit(texts: list[str], labels: list[int], weights: list[float]) -> tuple[floa
     prior = float(np.clip((v * y).sum() / v.sum(), 1e-4, 1 - 1e-4)) if len(y) else 1e-4
     if not len(y) or y.min() == y.max():
         return float(np.log(prior / (1 - prior))), {}
-    bags = [sentences(t) for t in texts]
+    # texts are cut again rather than kept cut: their words would fill the driver
     seen: Counter[str] = Counter()
-    for bag in bags:
-        seen.update({f for w in set().union(*bag) for f in features(w)})
+    for t in texts:
+        seen.update({f for w in set().union(*sentences(t)) for f in features(w)})
     words = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_FEATURES]
+    del seen
     number = {w: k for k, w in enumerate(words)}
-    doc_of = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    rows, cols = [], []
-    for k, s in enumerate(s for bag in bags for s in bag):
-        hit = [number[f] for w in s for f in features(w) if f in number]
-        rows += [k] * len(hit)
-        cols += hit
-    rows, cols = np.array(rows, np.int32), np.array(cols, np.int32)
+    docs, rows, cols = array("i"), array("i"), array("i")
+    for d, t in enumerate(texts):
+        for s in sentences(t):
+            hit = [number[f] for w in s for f in features(w) if f in number]
+            rows.extend([len(docs)] * len(hit))
+            cols.extend(hit)
+            docs.append(d)
+    doc_of, rows, cols = (np.frombuffer(x, np.int32) if len(x) else np.zeros(0, np.int32) for x in (docs, rows, cols))
     n = len(doc_of)
     v = v / v.sum()
-    w, b = np.zeros(len(words)), float(np.log(prior / (1 - prior)) - np.log(max(1.0, n / len(bags))))
+    w, b = np.zeros(len(words)), float(np.log(prior / (1 - prior)) - np.log(max(1.0, n / len(texts))))
     m1, m2, c1, c2 = np.zeros(len(words)), np.zeros(len(words)), 0.0, 0.0
     for t in range(1, STEPS + 1):
         p = sigmoid(b + np.bincount(rows, w[cols], n))
-        clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(bags)))
+        clean = np.exp(np.bincount(doc_of, np.log1p(-np.minimum(p, 1 - 1e-12)), len(texts)))
         # d(log-likelihood)/dz of a sentence: -p if the label is 0, p * clean / (1 - clean) if 1
         pull = np.where(y > 0, clean / np.maximum(1 - clean, 1e-9), -1.0) * v
         g = -p * pull[doc_of]
