@@ -14,6 +14,12 @@ CODE_SPAN = r"`+[^`]*`+"
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def bind(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value computed once.  Rules name their input many times, so that
+    nesting one in another would otherwise copy the inner one as often."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def trim(c: Column) -> Column:
     """Trim Unicode white space (the built-in trims spaces only)."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+\z", "")
@@ -51,7 +57,7 @@ def spans(c: Column, pattern: str) -> Column:
         e = s + F.length(p["hit"])
         return F.struct(F.coalesce(e, s).alias("at"), F.when(p["hit"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).alias("out"))
 
-    found = F.aggregate(_pieces(c, pattern), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"])
+    found = bind(c, lambda x: F.aggregate(_pieces(x, pattern), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"]))
     return F.when(c.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
@@ -74,7 +80,7 @@ def splice(c: Column, pattern: str, rewrite: Callable[[Column, Column, Column, C
         return F.struct(text.alias("out"), (start + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"), F.coalesce(F.right(p["hit"], F.lit(1)), before).alias("last"))
 
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit("").alias("last"))
-    return F.when(c.rlike(pattern), F.aggregate(_pieces(c, pattern), start, step, lambda s: s["out"])).otherwise(c)
+    return F.when(c.rlike(pattern), bind(c, lambda x: F.aggregate(_pieces(x, pattern), start, step, lambda s: s["out"]))).otherwise(c)
 
 
 def java_template(template: str, groups: dict[str, int] | int) -> str:

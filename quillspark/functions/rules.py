@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.kernels import CODE_SPAN, inside, rtrim, spans, splice, squash, trim
+from quillspark.functions.kernels import CODE_SPAN, bind, inside, rtrim, spans, splice, squash, trim
 
 
 def line_endings(text: Column) -> Column:
@@ -78,7 +78,7 @@ def inline_math(c: Column) -> Column:
         money = trim(body).rlike(r"(?U)^[\d.,\s]+\z")
         return F.when(prose | money, hit).otherwise(F.concat(F.lit("$"), trim(body), F.lit("$")))
 
-    return splice(shown, r"\$[^$]+?\$", one)
+    return bind(shown, lambda x: splice(x, r"\$[^$]+?\$", one))
 
 
 def typography(c: Column, em_dash: bool = True, guillemet: bool = True) -> Column:
@@ -129,7 +129,7 @@ def italic(c: Column) -> Column:
 
 def bold_italic(c: Column) -> Column:
     """25"""
-    return italic(bold(strong_emphasis(c)))
+    return bind(strong_emphasis(c), lambda x: bind(bold(x), italic))
 
 
 def reversed_emphasis(c: Column) -> Column:
@@ -157,7 +157,7 @@ def reversed_emphasis(c: Column) -> Column:
 
         return splice(x, r"\*[^*]+?\*", one)
 
-    return light(strong(both(c)))
+    return bind(both(c), lambda x: bind(strong(x), light))
 
 
 def liquid_tags(c: Column) -> Column:

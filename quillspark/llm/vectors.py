@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import small_enough, stored, table
+from quillspark.llm.common import lean, small_enough, stored, table
 from quillspark.llm.components import connected_components
 
 THRESHOLD, TARGET = 0.98, 0.99
@@ -39,6 +39,7 @@ def canonical(vectors: DataFrame) -> DataFrame:
     no components, null or non-finite components, or length zero.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys, units, dims = [], [], []
@@ -134,6 +135,7 @@ def fit(classes: DataFrame, sample: int = SAMPLE) -> dict[int, MultiIndex]:
 def place(classes: DataFrame, index: dict[int, MultiIndex]) -> DataFrame:
     """Add ``visits``: the cells to visit, the home cell first."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 1024):
@@ -255,9 +257,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9_SQL = r"""
 WITH RECURSIVE v AS (
   SELECT row_number() OVER () AS k, vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), c AS (
+  SELECT k, vec_id, label, len(e) AS n, list_filter(e, lambda x: x IS NOT NULL AND isfinite(x)) AS e FROM v WHERE label IS NOT NULL AND e IS NOT NULL
 ), ok AS (
-  SELECT k, vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM v
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(e, e) > 0
+  SELECT k, vec_id, label, e, sqrt(list_dot_product(e, e)) AS size FROM c WHERE n > 0 AND len(e) = n AND list_dot_product(e, e) > 0
 ), link AS (
   SELECT a.k AS a, b.k AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.k <> b.k
   WHERE list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.98
