@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.chunks import ChunkCache, slices
-from quillspark.llm.common import table, worker_cache
+from quillspark.llm.common import lean, table, worker_cache
 
 
 def byte_characters() -> list[str]:
@@ -76,7 +76,7 @@ class BpeEncoder(ChunkCache):
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(ranks)))
         self.split = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        super().__init__(np.dtype("<u4"), self._learn, self._direct)
+        super().__init__(np.dtype("<u4"), self._learn, self._direct, keep=150_000)
 
     def _pretokens(self, text: str) -> list[str]:
         return [piece for piece, _ in self.split.pre_tokenize_str(text)]
@@ -96,6 +96,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     A null text counts as empty; other columns are ignored; whole texts are encoded.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_cache(f"bpe:{ranks}:{pattern}", lambda: BpeEncoder(ranks, pattern))
         for whole in batches:
@@ -108,6 +109,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     """Append ``decoded BINARY``, the bytes that ``ids`` stand for."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = worker_cache(f"ranks:{ranks}", lambda: read_ranks(ranks)).__getitem__
         for b in batches:
@@ -117,9 +119,25 @@ def decode(tokens: DataFrame, ranks: str) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
+def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one worker: ``(doc_id, ids, decoded)``."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = worker_cache(f"bpe:{ranks}:{pattern}", lambda: BpeEncoder(ranks, pattern))
+        vocab = worker_cache(f"ranks:{ranks}", lambda: read_ranks(ranks)).__getitem__
+        for whole in batches:
+            for b in slices(whole, 1):
+                ids = enc.encode(b.column(1))
+                texts = [b"".join(map(vocab, np.frombuffer(raw, "<u4").tolist())) for raw in ids]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
+
+
 def digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     """Encode, decode again, and reduce both to hashes."""
-    both = decode(encode(docs, ranks, pattern), ranks)
+    both = round_trip(docs, ranks, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

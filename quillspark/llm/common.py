@@ -60,6 +60,30 @@ def worker_cache(key: str, build: Callable[[], object]) -> object:
     return getattr(store, key)
 
 
+def lean(run: Callable) -> Callable:
+    """A function over Arrow batches that hands memory back when its task ends.
+
+    Spark keeps Python workers for later tasks; what they have freed but still hold would
+    add up over the stages of a job.
+    """
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow
+
+        gc.collect()
+        pyarrow.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library has it
+            pass
+
+    return wrapped
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import discard, small_enough, stored, table
+from quillspark.llm.common import discard, lean, small_enough, stored, table
 from quillspark.llm.components import connected_components
 
 SHINGLE, PERCENT = 5, 80
@@ -105,6 +105,7 @@ def n_segments(band: int, plan: int) -> int:
 def profile(docs: DataFrame, salt: int) -> DataFrame:
     """``doc_id, n_shingles, node, check, own, low``; node is null for the empty set."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:
@@ -166,6 +167,7 @@ def signatures(docs: DataFrame, plans: dict[int, int], salt: int) -> DataFrame:
     Copies within a task are emitted once; copies in other tasks name the same node.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, seen = WordHashes(), set()
         for whole in batches:
@@ -265,6 +267,7 @@ def verify_blocks(rows: DataFrame) -> DataFrame:
     them only.  ``links`` counts the copies that linked sets stand for.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple] = {}
         key = None
@@ -333,6 +336,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     few = F.broadcast(wanted) if small_enough(wanted, 100_000) else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id").eqNullSafe(F.col("want_id")))
 
+    @lean
     def sets_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for whole in batches:

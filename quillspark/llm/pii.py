@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import discard, small_enough, stored, table
+from quillspark.llm.common import discard, lean, small_enough, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, PRIOR, PATTERN_BAR, INSTANCE_BAR = 3, 3, 1.0, 0.5, 0.7
@@ -110,6 +110,7 @@ ADDED = "_base array<struct<kind:int,start:int,end:int>>, _seen array<struct<kin
 def extract(docs: DataFrame) -> DataFrame:
     """Keep the columns of ``docs`` and add ``_base`` spans and ``_seen`` instances."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
@@ -182,6 +183,7 @@ def redact(docs: DataFrame) -> DataFrame:
     names = tuple(docs.columns)
     found = find(docs, names)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at = b.schema.get_field_index("text")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import table
+from quillspark.llm.common import lean, table
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 PUNCT_WORDS, NAV_PARTS, NAV_PART_WORDS, RUN_WORDS = 5, 4, 3, 6
@@ -127,6 +127,7 @@ def clean(docs: DataFrame, with_text: bool = True) -> DataFrame:
     kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] * 2
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_removed_lines long, removed_bytes long"
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opening = opening_pattern()
         for whole in batches:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import byte_characters
 from quillspark.llm.chunks import ChunkCache, slices
-from quillspark.llm.common import discard, scratch_dir, stored, table, worker_cache
+from quillspark.llm.common import discard, lean, scratch_dir, stored, table, worker_cache
 
 BLOCK = 256
 SHARD_TOKENS, SHARD_DOCS = 1_000_000, 100_000
@@ -98,6 +98,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> Data
     if the vocabulary needs them; ``end_id`` closes each document if given.
     """
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_cache(f"chunks:{tokenizer}", lambda: ChunkEncoder(tokenizer))
         tail = b"" if end_id is None else np.asarray([end_id], enc.dtype).tobytes()
@@ -112,6 +113,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> Data
 def id_counts(tokens: DataFrame) -> DataFrame:
     """``(id, n)`` over the whole corpus: each task sums its own rows first."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
@@ -245,6 +247,7 @@ def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = tokens.repartitionByRange(parts, "doc_id", F.xxhash64("ids")).sortWithinPartitions("doc_id", F.xxhash64("ids"), "ids")
 
+    @lean
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -290,6 +293,7 @@ def read_store(spark: SparkSession, path: str, emit_ids: bool = False) -> DataFr
     # one row per partition of the writer's exchange, whose number is set, not grown by rows
     before = F.broadcast(parts.select("part", (F.sum("n").over(upto) - F.col("n")).alias("before")))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         book = Codebook(lengths)
         for b in batches:

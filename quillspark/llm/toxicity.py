@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import table
+from quillspark.llm.common import lean, table
 
 #: The bound of the training sample: rows taken of label 1 and of label 0.
 SAMPLE = (1000, 2000)
@@ -131,6 +131,7 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
     """
     bias, weight = model
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         adds = WordWeights(weight)
         for whole in batches:
