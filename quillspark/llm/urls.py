@@ -81,14 +81,13 @@ def ratio_table(grams: DataFrame, order: int = ORDER, prior: float = PRIOR) -> D
 def judge(pages: DataFrame, rules=RULES, order: int = ORDER, prior: float = PRIOR) -> DataFrame:
     """``pages(page_id, url)`` to ``page_id, host, path, rule, verdict, score``.
 
-    A null URL or one without ``://`` has an empty host and path and is judged by the
-    model.  Without accepted or rejected URLs the threshold is 0; a score at the
+    The model reads the whole URL as written, a null one as empty; the rules read host and
+    path.  A null URL or one without ``://`` has both empty and is judged by the model.  Without accepted or rejected URLs the threshold is 0; a score at the
     threshold is allowed.  Rows that repeat are judged alike; other columns are ignored.
     """
-    parsed = pages.select(F.col("page_id").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    parsed = parsed.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "hit.rule", "hit.verdict")
-    text = F.concat("host", "path")
-    spread = parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("gram", F.explode(grams_of(text, order)))
+    parsed = pages.select(F.col("page_id").alias("page_id"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce("url", F.lit("")).alias("text"))
+    parsed = parsed.withColumn("hit", match_rule(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "hit.rule", "hit.verdict", "text")
+    spread = parsed.withColumn("row", F.monotonically_increasing_id()).withColumn("gram", F.explode(grams_of(F.col("text"), order))).drop("text")
     model = stored(ratio_table(spread, order, prior), "url_ratios")
     if small_enough(model, 200_000):  # distinct n-grams; beyond, a shuffled join that splits hot grams
         model = F.broadcast(model)
