@@ -2,8 +2,10 @@
 
 Base spans are the seeds.  The words before a seed are its lexical patterns; the same
 patterns also stand before strings of a looser shape (candidates).  Patterns and instances
-form a bipartite graph that Spark scores in rounds: a pattern is worth the mean worth of
-the instances it introduces, an instance the noisy-or of its patterns, seeds staying at 1.
+form a bipartite graph that Spark scores in rounds: a pattern is worth the share of its known
+instances (seeds, and candidates accepted so far) among those and its counter-examples
+(candidates that are calendar dates or clock times), an instance the noisy-or of its patterns,
+seeds staying at 1 and counter-examples at 0.  What is not known yet counts neither way.
 Candidates of high worth are added as spans of the seed's kind.
 """
 
@@ -39,6 +41,11 @@ LOOSE = (
 )
 LOOSE_HINT = re.compile(r"[0-9]{2}|[(\[\x20]at[)\]\x20]|[0-9A-Fa-f]:[0-9A-Fa-f:]")
 WORDS = re.compile(r"[^\W_]+", re.UNICODE)
+#: Candidates of the loose shapes that are known to be something else: clock times, calendar dates.
+OTHER = {
+    1: re.compile(r"(?:[01]?[0-9]|2[0-3])(?::[0-5][0-9]){2}"),
+    3: re.compile(r"(?:19|20)[0-9]{2}([-./])(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])([-./])(?:0[1-9]|1[0-2])\2(?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])/(?:0[1-9]|[12][0-9]|3[01])/(?:19|20)[0-9]{2}"),
+}
 
 
 def luhn(digits: str) -> bool:
@@ -83,6 +90,10 @@ def value_of(kind: int, text: str) -> str:
     return DIGITS.sub("", text) if kind >= 2 else text.lower()
 
 
+def is_other(kind: int, text: str) -> bool:
+    return kind in OTHER and OTHER[kind].fullmatch(text) is not None
+
+
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Loose spans that touch no base span nor each other, the longest kind first."""
     if not LOOSE_HINT.search(text):
@@ -103,8 +114,8 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
 
 
 SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
-SEEN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))])
-ADDED = "_base array<struct<kind:int,start:int,end:int>>, _seen array<struct<kind:int,start:int,end:int,value:string,seed:boolean,patterns:array<string>>>"
+SEEN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("value", pa.string()), ("seed", pa.bool_()), ("other", pa.bool_()), ("patterns", pa.list_(pa.string()))])
+ADDED = "_base array<struct<kind:int,start:int,end:int>>, _seen array<struct<kind:int,start:int,end:int,value:string,seed:boolean,other:boolean,patterns:array<string>>>"
 
 
 def extract(docs: DataFrame) -> DataFrame:
@@ -121,7 +132,7 @@ def extract(docs: DataFrame) -> DataFrame:
                     found = base_spans(text)
                     loose = candidates(text, found)
                     base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-                    seen.append([{"kind": k, "start": s, "end": e, "value": value_of(k, text[s:e]), "seed": seed, "patterns": contexts(text, s)} for part, seed in ((found, True), (loose, False)) for k, s, e in part])
+                    seen.append([{"kind": k, "start": s, "end": e, "value": value_of(k, text[s:e]), "seed": seed, "other": not seed and is_other(k, text[s:e]), "patterns": contexts(text, s)} for part, seed in ((found, True), (loose, False)) for k, s, e in part])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, pa.list_(SPAN)), pa.array(seen, pa.list_(SEEN))], [*b.schema.names[:-1], "_base", "_seen"])
 
     kept = docs.drop("_base", "_seen", "_pii_text", "_row")
@@ -129,26 +140,33 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``edges(kind, pattern, value, seed)``, distinct, to ``(kind, value, worth)`` of non-seeds.
+    """``edges(kind, pattern, value, seed, other)``, distinct, to ``(kind, value, worth)`` of non-seeds.
 
-    A pattern needs ``MIN_SEEDS`` different seeds, as an accident of wording has not.
+    A pattern needs ``MIN_SEEDS`` different known instances, as an accident of wording has
+    not; each round counts those that the rounds before have accepted.
     """
     worth = edges.withColumn("worth", F.col("seed").cast("double"))
-    proven = edges.groupBy("kind", "pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.lit(1)).alias("n"))
-    proven = proven.filter((F.col("seeds") >= MIN_SEEDS) & (F.col("n") > F.col("seeds"))).select("kind", "pattern")
-    if small_enough(proven, 100_000):
-        proven = F.broadcast(proven)
-    worth = stored(worth.join(proven, ["kind", "pattern"]), "pii_graph")
+    # fewer instances can never be enough, and a pattern of seeds alone introduces nothing new
+    useful = edges.groupBy("kind", "pattern").agg(F.count(F.when(F.col("seed"), 1)).alias("seeds"), F.count(F.lit(1)).alias("n"))
+    useful = useful.filter((F.col("n") >= MIN_SEEDS) & (F.col("n") > F.col("seeds"))).select("kind", "pattern")
+    if small_enough(useful, 100_000):
+        useful = F.broadcast(useful)
+    worth = stored(worth.join(useful, ["kind", "pattern"]), "pii_graph")
     for _ in range(rounds):
-        patterns = worth.groupBy("kind", "pattern").agg((F.sum("worth") / (F.count(F.lit(1)) + PRIOR)).alias("p"))
-        patterns = patterns.withColumn("p", F.when(F.col("p") >= PATTERN_BAR, F.col("p")).otherwise(0.0))
+        known = F.col("worth") >= INSTANCE_BAR
+        sums = [F.count(F.when(known, 1)).alias("known"), F.sum(F.when(known, F.col("worth")).otherwise(0.0)).alias("good"), F.count(F.when(F.col("other"), 1)).alias("bad")]
+        patterns = worth.groupBy("kind", "pattern").agg(*sums).filter(F.col("known") >= MIN_SEEDS)
+        patterns = patterns.select("kind", "pattern", (F.col("good") / (F.col("good") + F.col("bad") + PRIOR)).alias("p")).filter(F.col("p") >= PATTERN_BAR)
         if small_enough(patterns, 100_000):
             patterns = F.broadcast(patterns)
-        lit = worth.join(patterns, ["kind", "pattern"])
+        lit = worth.filter("NOT seed AND NOT other").join(patterns, ["kind", "pattern"])
         miss = F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-9)))))
         values = lit.groupBy("kind", "value").agg((1 - miss).alias("w"))
+        if small_enough(values, 100_000):
+            values = F.broadcast(values)
         before = worth
-        worth = stored(before.drop("worth").join(values, ["kind", "value"]).withColumn("worth", F.when(F.col("seed"), 1.0).otherwise(F.col("w"))).drop("w"), "pii_graph")
+        new = F.when(F.col("seed"), 1.0).when(F.col("other"), 0.0).otherwise(F.coalesce("w", F.lit(0.0)))
+        worth = stored(before.drop("worth").join(values, ["kind", "value"], "left").withColumn("worth", new).drop("w"), "pii_graph")
         discard(before)
     return worth.filter(~F.col("seed")).groupBy("kind", "value").agg(F.max("worth").alias("worth"))
 
@@ -165,11 +183,11 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = rows if "text" in carry else rows.drop("text")
     rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "pii_rows")
     seen = rows.select("_row", F.explode("_seen").alias("s")).select("_row", "s.*")
-    edges = seen.select("kind", "value", "seed", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = seen.select("kind", "value", "seed", "other", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.min("other").alias("other"))
     good = score_graph(edges).filter(F.col("worth") >= INSTANCE_BAR).select("kind", "value")
     if small_enough(good, 100_000):
         good = F.broadcast(good)
-    added = seen.filter(~F.col("seed")).join(good, ["kind", "value"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
+    added = seen.filter("NOT seed AND NOT other").join(good, ["kind", "value"]).groupBy("_row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("_added"))
     added = stored(added, "pii_added")
     if small_enough(added, 20_000):
         added = F.broadcast(added)

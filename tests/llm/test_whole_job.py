@@ -56,3 +56,38 @@ def test_url_query_reads_whole_urls(spark):
     got = {r.page_id: r for r in op10_url_filter(spark, DATA).collect()}
     by_rule = [got[k].verdict if got[k].rule else None for k in urls]
     assert [got[k].verdict for k in urls] == plain_verdicts(list(urls.values()), by_rule)[1]
+
+
+# -------------------------------------------------------- 4: personal data
+
+
+def discovered(spark, rows):
+    from quillspark.llm.pii import find
+
+    return {r.doc_id: len(r.spans) for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_more_to_discover_than_seeds(spark):
+    """100 seeds and 150 candidates of one context: all are found."""
+    rows = [(k, f"please call me at +1 (555) 555-{1000 + k} thanks") for k in range(100)]
+    rows += [(1000 + k, f"please call me at 555-867-{1000 + k} thanks") for k in range(150)] + [(2000, "order number 555-867-9999 shipped")]
+    got = discovered(spark, rows)
+    assert sum(got[1000 + k] for k in range(150)) == 150 and not got[2000]
+
+
+def test_discovered_instances_prove_patterns(spark):
+    """A context without any seed is proven by instances that another one has proven."""
+    rows = [(k, f"please call me at +1 (555) 555-{1000 + k} thanks") for k in range(5)]
+    rows += [(100 + k, f"please call me at 555-867-{1000 + k} thanks") for k in range(5)]
+    rows += [(200 + k, f"just ring this extension 555-867-{1000 + k} today") for k in range(5)]
+    rows += [(300, "just ring this extension 555-867-7777 today"), (301, "order number 555-867-8888 shipped")]
+    got = discovered(spark, rows)
+    assert got[300] == 1 and got[301] == 0
+
+
+def test_counter_examples_disprove(spark):
+    """Dates and times speak against a context, and are never found themselves."""
+    rows = [(k, f"we met them on +1 (555) 555-{1000 + k} thanks") for k in range(4)]
+    rows += [(100 + k, f"we met them on 2021-03-{10 + k} thanks") for k in range(9)] + [(200, "we met them on 555-867-5309 thanks")]
+    got = discovered(spark, rows)
+    assert not any(got[100 + k] for k in range(9)) and not got[200]
