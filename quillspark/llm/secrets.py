@@ -25,8 +25,10 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: class, what all of a candidate's characters match, bits per character that make it a secret;
-#: the first class that fits is taken
-CLASSES = (("upper_hex", r"^[0-9A-F]*[A-F][0-9A-F]*$", 3.1), ("base36", r"^([0-9a-z]*[0-9][0-9a-z]*|[0-9A-Z]*[0-9][0-9A-Z]*)$", 3.6), ("base64", r"[0-9].*[A-Z].*[a-z]|[0-9].*[a-z].*[A-Z]|[A-Z].*[0-9].*[a-z]|[A-Z].*[a-z].*[0-9]|[a-z].*[0-9].*[A-Z]|[a-z].*[A-Z].*[0-9]", 3.9))
+#: the first class that fits is taken, and one always does.  The last three hold plain words and
+#: paths too, so that they ask for more than such words reach.
+CLASSES = (("upper_hex", r"^[0-9A-F]*[A-F][0-9A-F]*$", 3.1), ("base36", r"^([0-9a-z]*[0-9][0-9a-z]*|[0-9A-Z]*[0-9][0-9A-Z]*)$", 3.6), ("base64", r"[0-9].*[A-Z].*[a-z]|[0-9].*[a-z].*[A-Z]|[A-Z].*[0-9].*[a-z]|[A-Z].*[a-z].*[0-9]|[a-z].*[0-9].*[A-Z]|[a-z].*[A-Z].*[0-9]", 3.9),
+           ("base36_signs", r"^([0-9a-z+/_=-]*[0-9][0-9a-z+/_=-]*|[0-9A-Z+/_=-]*[0-9][0-9A-Z+/_=-]*)$", 4.0), ("letters", r"[A-Z].*[a-z]|[a-z].*[A-Z]", 4.1), ("one_case", r"^[^0-9]*$", 3.9))
 #: Suppressed: identifiers made to be unique rather than secret, samples, published digests.
 ALLOW = r"^[0-9A-Fa-f]{8}-([0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$|[Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp]laceholder|XXXXXX|xxxxxx|0123456789|[Aa]bcdefgh|ABCDEFGH|^sha(1|224|256|384|512)[-=]"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"

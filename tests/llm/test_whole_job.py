@@ -91,3 +91,27 @@ def test_counter_examples_disprove(spark):
     rows += [(100 + k, f"we met them on 2021-03-{10 + k} thanks") for k in range(9)] + [(200, "we met them on 555-867-5309 thanks")]
     got = discovered(spark, rows)
     assert not any(got[100 + k] for k in range(9)) and not got[200]
+
+
+# -------------------------------------------------------------- 6: secrets
+
+
+def test_every_candidate_has_a_class():
+    import itertools
+    import re
+
+    from quillspark.llm.secrets import CLASSES
+
+    for parts in itertools.chain.from_iterable(itertools.permutations(["a", "Z", "7", "-", "b", "0"], n) for n in range(1, 7)):
+        assert any(re.search(p, "".join(parts) * 20) for _, p, _ in CLASSES), parts
+
+
+def test_secrets_of_all_alphabets(spark):
+    """Separators beside one case and digits, letters alone: found by entropy; words are not."""
+    from quillspark.llm.secrets import scan
+
+    yes = ["tok_9f8g7h6j5k4l3m2n1p0qzrwxyvut", "TOK-9F8G7H6J5K4L3M2N1P0QZRWXYVUT", "qWmZxKvBnTyHgRfDpLsJcUeAoI/+VbNk", "zqxwvjkpygbmfhcdutlsrnoeia"]
+    no = ["keitstlichschenverpf", "Einungtzheitgeungverlich", "internationalization-of-words", "see_chapter_2_of_the_first_book", "-" * 40, "lib/site-packages/package/module"]
+    rows = list(enumerate(yes + no))
+    got = {r.doc_id: [s.value for s in r.found] for r in scan(spark.createDataFrame([(k, f"here {v} ends") for k, v in rows], "doc_id long, text string")).collect()}
+    assert [got[k] for k, _ in rows] == [[v] for v in yes] + [[]] * len(no)
