@@ -49,15 +49,40 @@ def _pieces(c: Column, pattern: str) -> Column:
     return F.arrays_zip(gaps.alias("gap"), hits.alias("hit"), after(gaps).alias("gap2"), after(hits).alias("hit2"))
 
 
+#: What a fold emits grows in arrays of this length, so that a text of many matches stays linear.
+BLOCK = 64
+
+
+def emitted(pieces: Column, state: dict[str, Column], kind: str, step: Callable[[Column, Column], tuple[dict[str, Column], Column]]) -> Column:
+    """All that ``step(state, piece)`` emits, in order: it gives the next state and an array of ``kind``."""
+    none = F.array().cast(f"array<{kind}>")
+    fields = lambda v, out: F.struct(*[v[k].alias(k) for k in state], out.alias("out"))
+
+    def inner(s: Column, p: Column) -> Column:
+        new, made = step(s, p)
+        return fields(new, F.concat(s["out"], made))
+
+    def whole(ps: Column) -> Column:
+        def block(t: Column, b: Column) -> Column:
+            now = F.aggregate(F.slice(ps, b * BLOCK + 1, F.lit(BLOCK)), fields(t["now"], none), inner)
+            return F.struct(now.alias("now"), F.concat(t["done"], F.array(t["now"]["out"])).alias("done"))
+
+        last = F.floor(F.greatest(F.size(ps) - 1, F.lit(0)) / BLOCK).cast("int")
+        start = F.struct(fields(state, none).alias("now"), F.array().cast(f"array<array<{kind}>>").alias("done"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, block, lambda t: F.flatten(F.concat(t["done"], F.array(t["now"]["out"]))))
+
+    return bind(pieces, whole)
+
+
 def spans(c: Column, pattern: str) -> Column:
     """Start and end of every match, in code points."""
 
-    def step(state: Column, p: Column) -> Column:
+    def step(state: Column, p: Column) -> tuple[dict[str, Column], Column]:
         s = state["at"] + F.length(p["gap"])
         e = s + F.length(p["hit"])
-        return F.struct(F.coalesce(e, s).alias("at"), F.when(p["hit"].isNull(), state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(s.alias("s"), e.alias("e"))))).alias("out"))
+        return {"at": F.coalesce(e, s)}, F.when(p["hit"].isNull(), F.array().cast(SPANS)).otherwise(F.array(F.struct(s.alias("s"), e.alias("e"))))
 
-    found = bind(c, lambda x: F.aggregate(_pieces(x, pattern), F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out")), step, lambda s: s["out"]))
+    found = emitted(_pieces(c, pattern), {"at": F.lit(0)}, "struct<s:int,e:int>", step)
     return F.when(c.rlike(pattern), found).otherwise(F.array().cast(SPANS))
 
 
@@ -72,15 +97,15 @@ def splice(c: Column, pattern: str, rewrite: Callable[[Column, Column, Column, C
     look-around patterns cannot express.  Neighbours are those of the unchanged line.
     """
 
-    def step(state: Column, p: Column) -> Column:
+    def step(state: Column, p: Column) -> tuple[dict[str, Column], Column]:
         before = F.when(p["gap"] != "", F.right(p["gap"], F.lit(1))).otherwise(state["last"])
         after = F.left(F.coalesce(F.nullif(p["gap2"], F.lit("")), p["hit2"], F.lit("")), F.lit(1))
         start = state["at"] + F.length(p["gap"])
-        text = F.concat(state["out"], p["gap"], F.when(p["hit"].isNull(), F.lit("")).otherwise(rewrite(p["hit"], before, after, start)))
-        return F.struct(text.alias("out"), (start + F.coalesce(F.length(p["hit"]), F.lit(0))).alias("at"), F.coalesce(F.right(p["hit"], F.lit(1)), before).alias("last"))
+        text = F.concat(p["gap"], F.when(p["hit"].isNull(), F.lit("")).otherwise(rewrite(p["hit"], before, after, start)))
+        return {"at": start + F.coalesce(F.length(p["hit"]), F.lit(0)), "last": F.coalesce(F.right(p["hit"], F.lit(1)), before)}, F.array(text)
 
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit("").alias("last"))
-    return F.when(c.rlike(pattern), bind(c, lambda x: F.aggregate(_pieces(x, pattern), start, step, lambda s: s["out"]))).otherwise(c)
+    made = emitted(_pieces(c, pattern), {"at": F.lit(0), "last": F.lit("")}, "string", step)
+    return F.when(c.rlike(pattern), F.array_join(made, "")).otherwise(c)
 
 
 def java_template(template: str, groups: dict[str, int] | int) -> str:

@@ -39,6 +39,11 @@ def to_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(whole).alias("n", "l"))
 
 
+def doc_lines(docs: DataFrame) -> DataFrame:
+    """As ``to_lines``, but an empty text has one empty line, so that no document is lost."""
+    return to_lines(docs.withColumn("text", F.when(F.col("text") == "", "\n").otherwise(F.col("text"))))
+
+
 def assemble(out: DataFrame) -> DataFrame:
     """``(doc_id, n, frags)`` to ``(doc_id, text)``, each line ended by a line feed."""
     rows = F.sort_array(F.collect_list(F.struct("n", "frags")))

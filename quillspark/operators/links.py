@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.kernels import is_blank, spans, trim
 from quillspark.functions.lines import in_code_span
 from quillspark.operators.classify import plain, regions
-from quillspark.operators.lines import rows_after
+from quillspark.operators.lines import rows_after, whole_doc
 from quillspark.sources.scratch import materialize
 
 DEFINITION = r"(?Ud)^(\[[^\]]+\])\s*:\s*(.+)\z"
@@ -28,7 +28,7 @@ def _target(c: Column) -> tuple[Column, Column]:
 
 
 def definitions(lines: DataFrame) -> DataFrame:
-    """``(doc_id, key, ref_id, url, title)``: the last definition of each key.
+    """``(doc_id, key, ref_id, url, title, n)``: the last definition of each key and its line.
 
     A key is the bracketed id; the same in lower case, trimmed, is a second key.
     """
@@ -41,7 +41,7 @@ def definitions(lines: DataFrame) -> DataFrame:
     keyed = rows.withColumn("ref_id", ref).withColumn("key", F.explode(F.array_distinct(F.array(F.col("id"), low))))
     # an id as it is written wins over one that only matches in lower case
     rank = F.struct((F.col("key") == F.col("id")).alias("exact"), F.col("n").alias("n"))
-    best = keyed.groupBy("doc_id", "key").agg(F.max_by(F.struct("ref_id", "url", "title"), rank).alias("d"))
+    best = keyed.groupBy("doc_id", "key").agg(F.max_by(F.struct("ref_id", "url", "title", "n"), rank).alias("d"))
     return best.select("doc_id", "key", "d.*")
 
 
@@ -85,9 +85,18 @@ def resolve(links: DataFrame, defs: DataFrame) -> DataFrame:
     return both.withColumn("ref_id", F.when(~inline, ref)).withColumn("url", F.when(inline, F.col("url")).otherwise(F.col("d_url"))).withColumn("title", F.when(inline, F.col("title")).otherwise(F.col("d_title"))).drop("d_url", "d_title")
 
 
-def number_links(links: DataFrame) -> DataFrame:
-    """Add ``num`` to inline links: distinct targets count on from the highest number in use."""
-    used = links.filter("kind <> 'inline'").groupBy("doc_id").agg(F.max(F.col("ref_id").try_cast("long")).alias("top"))
+def unreferenced(links: DataFrame, defs: DataFrame) -> DataFrame:
+    """Definitions, each under the id as written, that no link uses."""
+    own = defs.filter(F.col("key") == F.concat(F.lit("["), F.col("ref_id"), F.lit("]")))
+    return own.join(links.filter("kind <> 'inline'").select("doc_id", "ref_id").distinct(), ["doc_id", "ref_id"], "left_anti")
+
+
+def number_links(links: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """Add ``num`` to inline links: distinct targets count on from the highest number in use,
+    by a link or by a definition that is ``kept``."""
+    used = links.filter("kind <> 'inline'").select("doc_id", "ref_id")
+    used = used if kept is None else used.unionByName(kept.select("doc_id", "ref_id"))
+    used = used.groupBy("doc_id").agg(F.max(F.col("ref_id").try_cast("long")).alias("top"))
     first = links.filter("kind = 'inline'").groupBy("doc_id", "url", "title").agg(F.min(F.struct("n", "s")).alias("at"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))
     nums = first.join(used, "doc_id", "left").select("doc_id", "url", "title", (rank + F.coalesce("top", F.lit(0))).alias("num"))
@@ -117,43 +126,62 @@ def apply_edits(c: Column, edits: Column) -> Column:
     return F.aggregate(edits, start, step, lambda s: F.concat(s["out"], F.substring(c, s["at"] + 1, F.length(c))))
 
 
-def definition_lines(links: DataFrame) -> DataFrame:
-    """``(doc_id, k, l)``: text ids in order of first use, then numbers ascending."""
+def definition_lines(links: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """``(doc_id, k, l)``: text ids in order of first use, then numbers ascending, then ``kept``
+    definitions in the order of their lines."""
     at = F.struct("n", "ord", "s")
     named = links.filter("kind <> 'inline'").groupBy("doc_id", "ref_id").agg(F.min_by(F.struct("url", "title"), at).alias("t"), F.min(at).alias("at"))
     named = named.select("doc_id", F.col("ref_id").alias("id"), "t.url", "t.title", F.struct(F.lit(0).alias("g"), F.col("at.n").cast("long").alias("a"), F.col("at.ord").cast("long").alias("b"), F.col("at.s").cast("long").alias("c")).alias("o"))
     numbers = links.filter("kind = 'inline'").select("doc_id", F.col("num").cast("string").alias("id"), "url", "title", F.struct(F.lit(1).alias("g"), F.col("num").cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("c")).alias("o")).distinct()
     every = named.unionByName(numbers)
+    if kept is not None:
+        zero = F.lit(0).cast("long")
+        every = every.unionByName(kept.select("doc_id", F.col("ref_id").alias("id"), "url", "title", F.struct(F.lit(2).alias("g"), F.col("n").cast("long").alias("a"), zero.alias("b"), zero.alias("c")).alias("o")))
     k = F.row_number().over(Window.partitionBy("doc_id").orderBy("o"))
     return every.select("doc_id", k.alias("k"), _with_title(F.concat(F.lit("["), F.col("id"), F.lit("]: ")), F.col("url"), F.col("title"), "").alias("l"))
 
 
-def convert(lines: DataFrame, inline: bool = False, at_beginning: bool = False) -> DataFrame:
+def body_lines(lines: DataFrame, to_end: bool) -> DataFrame:
+    """Lines without definitions and, if ``to_end``, without the blank lines after the last text.
+
+    A document of nothing else keeps one empty line, so that it is not lost."""
+    text = ~(plain() & is_definition_line(F.col("l")))
+    lines = lines.withColumn("_text", text)
+    if to_end:
+        more = F.first(F.when(F.col("_text") & ~is_blank(F.col("l")), F.lit(1)), ignorenulls=True).over(rows_after()).isNotNull()
+        lines = lines.withColumn("_more", more).withColumn("_text", F.col("_text") & (F.col("_more") | ~is_blank(F.col("l")))).drop("_more")
+    lines = lines.withColumn("_any", F.max("_text").over(whole_doc())).filter(F.col("_text") | (~F.col("_any") & (F.col("n") == 0)))
+    return lines.withColumn("l", F.when(F.col("_any"), F.col("l")).otherwise(F.lit(""))).drop("_text", "_any")
+
+
+def convert(lines: DataFrame, inline: bool = False, at_beginning: bool = False, keep_unreferenced: bool = False) -> DataFrame:
     """``(doc_id, n, l)`` with links in one style, renumbered from 0.
 
     Reference style puts definitions after the last line of text, or at the beginning
-    below front matter, with a blank line between.  Inline style needs none.
+    below front matter, with a blank line between; those that nothing uses go unless they are to
+    be kept.  Inline style needs none.
     """
     lines = regions(lines.select("doc_id", "n", "l"))
-    links = materialize(resolve(find_links(lines), definitions(lines)), "links")
+    defs = definitions(lines)
+    links = materialize(resolve(find_links(lines), defs), "links")
+    spare = None
     if not inline:
-        links = materialize(number_links(links), "numbered")
-    body = lines.filter(~(plain() & is_definition_line(F.col("l"))))
+        spare = unreferenced(links, defs) if keep_unreferenced else None
+        links = materialize(number_links(links, spare), "numbered")
+    body = body_lines(lines, not inline and not at_beginning)
     body = body.join(rewritten(links, inline), ["doc_id", "n"], "left")
     body = body.withColumn("l", F.when(F.col("edits").isNotNull(), apply_edits(F.col("l"), F.col("edits"))).otherwise(F.col("l")))
     if inline:
         rows = body.select("doc_id", F.struct(F.lit(1).alias("g"), F.col("n").alias("a")).alias("o"), "l")
     else:
-        defs = definition_lines(links)
+        defs = definition_lines(links, spare)
         place = 0 if at_beginning else 2
-        text_after = F.first(F.when(~is_blank(F.col("l")), F.lit(1)), ignorenulls=True).over(rows_after()).isNotNull()
-        kept = body if at_beginning else body.withColumn("_more", text_after).filter(F.col("_more") | ~is_blank(F.col("l"))).drop("_more")
         group = F.when(F.col("in_fm"), -1).otherwise(1)
         gap = defs.groupBy("doc_id").agg(F.max("k").alias("k"))
         gaps = [gap.select("doc_id", F.struct(F.lit(place).alias("g"), (F.lit(0) if place == 2 else F.col("k") + 1).cast("int").alias("a")).alias("o"), F.lit("").alias("l"))]
         if at_beginning:
             gaps.append(gap.select("doc_id", F.struct(F.lit(0).alias("g"), F.lit(0).alias("a")).alias("o"), F.lit("").alias("l")))
-        rows = kept.select("doc_id", F.struct(group.alias("g"), F.col("n").alias("a")).alias("o"), "l")
+        rows = body.select("doc_id", F.struct(group.alias("g"), F.col("n").alias("a")).alias("o"), "l")
         for more in (defs.select("doc_id", F.struct(F.lit(place).alias("g"), F.col("k").alias("a")).alias("o"), "l"), *gaps):
             rows = rows.unionByName(more)
     return rows.select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("o")) - 1).alias("n"), "l")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.kernels import java_template
 from quillspark.operators.classify import regions, replacement_regions
-from quillspark.operators.lines import to_lines
+from quillspark.operators.lines import doc_lines
 
 
 @dataclass(frozen=True)
@@ -49,13 +49,14 @@ def by_line(c: Column, rules: list[Replacement], in_code: Column, in_fm: Column)
 def by_document(docs: DataFrame, rules: list[Replacement], timing: str) -> DataFrame:
     """``(doc_id, text)``: "before" rules, or multi-line "after" rules, a region at a time.
 
-    Regions are found anew for each rule, since a rule may change them.
+    Regions are found anew for each rule, since a rule may change them.  A text that a rule empties
+    stays as an empty line.
     """
     for r in rules:
         if r.timing != timing or (timing == "after" and not r.multi_line):
             continue
         pattern, template = r.java
-        lines = replacement_regions(regions(to_lines(docs)))
+        lines = replacement_regions(regions(doc_lines(docs)))
         segment = lines.groupBy("doc_id", "segment").agg(F.first("region").alias("region"), F.concat(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "l"))), lambda x: x["l"]), "\n"), F.lit("\n")).alias("t"))
         ok = F.col("region") == "text"
         ok = ok | (F.lit(r.in_code_blocks) & (F.col("region") == "code")) | (F.lit(r.in_frontmatter) & (F.col("region") == "front"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.kernels import squash
+
 _FLAT = r"[^\[\]]*"
 _ONE = rf"(?:\[{_FLAT}\]|[^\[\]])*"
 _TWO = rf"(?:\[{_ONE}\]|[^\[\]])*"
@@ -13,15 +15,27 @@ _TWO = rf"(?:\[{_ONE}\]|[^\[\]])*"
 TOKEN = rf"(?U)(`+)(?!`)(?:(?!\1(?!`)).)*?(?<!`)\1(?!`)|\[{_TWO}\](?:\([^)]*\)?|\[[^\]]*\]?)?\S*|\[.*|\S+"
 
 
+#: What a text must hold for tokens to be more than words or for the guard to matter.
+GUARDED = r"(?U)[\[`]|\s\d+\."
+
+
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
+def greedy(c: Column, room: Column) -> Column:
+    """Lines of plain words, in one pass of one pattern: as many whole words as fit, or a
+    word that is longer than a line."""
+    pattern = F.concat(F.lit(r"(?sU)\S.{0,"), F.greatest(room - 1, F.lit(0)).cast("string"), F.lit(r"}(?!\S)|\S+"))
+    return F.regexp_extract_all(squash(c), pattern, F.lit(0))
+
+
 def wrap(c: Column, width: Column, prefix: Column | None = None) -> Column:
     """Lines of at most ``width`` characters, the prefix counted, unless a token is longer.
 
     A token like ``3.`` would make a list where it starts a line, so the word before it
-    comes along.  A text that fits is given back as it is.
+    comes along.  A text that fits is given back as it is.  Only texts with brackets,
+    back-ticks or such tokens are folded word by word.
     """
     head = F.lit("") if prefix is None else prefix
     room = width - F.length(head)
@@ -39,5 +53,5 @@ def wrap(c: Column, width: Column, prefix: Column | None = None) -> Column:
         return F.when(fits, F.struct(s["done"].alias("done"), longer.alias("line"))).otherwise(F.struct(done.alias("done"), F.when(carry, F.concat(last, F.lit(" "), word)).otherwise(word).alias("line")))
 
     lines = F.aggregate(tokens(c), start, step, lambda s: F.when(s["line"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
-    whole = F.when(F.length(c) <= room, F.array(c)).otherwise(lines)
+    whole = F.when(F.length(c) <= room, F.array(c)).when(c.rlike(GUARDED), lines).otherwise(greedy(c, room))
     return F.transform(F.when(F.size(whole) > 0, whole).otherwise(F.array(c)), lambda x: F.concat(head, x))

@@ -4,7 +4,11 @@ All windows partition by doc_id and order by line, so Spark shuffles lines once
 Lines are written before and after link conversion, whose joins each read them again.
 Decisions are made in this order: what a line is; which lines go; what survives becomes; which
 blank lines come before and after, from the survivor before and the input line after.
-A skipped rule adds nothing to the plan.  ``doc_id`` must be unique.
+A skipped rule adds nothing to the plan.
+
+Inside the plan ``doc_id`` is a key of the input row: its own number, the given id and a digest of
+its text.  So rows that share an id, or have none, stay apart, and neither the id nor whether the
+text changed needs a join afterwards.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from quillspark.functions.kernels import is_blank, ltrim, rtrim, trim
 from quillspark.functions.lines import indent_of, is_deflist_item, is_fence, is_headline, is_list_item, is_preserved, is_quote, is_quote_blank, is_rule, quote_depth
 from quillspark.operators import emoji, links, lists, replacements, tables
 from quillspark.operators.classify import display_math, plain, regions, trailing_blanks_of_block
-from quillspark.operators.lines import rows_after, rows_before, doc_order, rows_up_to, assemble, to_lines, with_neighbours
+from quillspark.operators.lines import rows_after, rows_before, doc_order, rows_up_to, assemble, doc_lines, with_neighbours
 from quillspark.operators.wrap import wrap
 from quillspark.plans.options import Options
 from quillspark.sources.scratch import materialize
@@ -177,20 +181,29 @@ def blank_lines(lines: DataFrame, o: Options) -> DataFrame:
     return lines.withColumn("frags", F.concat(front, "frags", back))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` of rows with a text, each under a key of its own."""
+    rows = docs.filter("text IS NOT NULL").select("doc_id", "text").withColumn("_row", F.monotonically_increasing_id())
+    return rows.select(F.struct(F.col("_row").alias("row"), F.col("doc_id").alias("id"), F.md5("text").alias("was")).alias("doc_id"), "text")
+
+
 def normalize(docs: DataFrame, options: Options | None = None) -> DataFrame:
-    """``docs(doc_id, text)`` to ``(doc_id, text, changed)``.
+    """``docs(doc_id, text)`` to ``(doc_id, text, changed)``, a row for each input row.
 
-    A null text stays null, an empty one becomes a line feed; other columns are ignored.
+    A null text stays null, an empty one becomes a line feed; other columns are ignored.  Rows of
+    one doc_id, or of a null one, are documents of their own; an empty table gives an empty result.
     """
     o = options or Options()
-    given = docs.select("doc_id", "text")
     text = R.line_endings(F.col("text")) if o.on(1) else F.col("text")
-    work = given.filter("text IS NOT NULL").select("doc_id", text.alias("text"))
+    work = keyed(docs).select("doc_id", text.alias("text"))
     work = replacements.by_document(work, list(o.replacements), "before")
-    lines = materialize(to_lines(work), "lines")
+    lines = doc_lines(work)
     if o.link_style and lines.filter(F.col("l").contains("[")).limit(1).count():
-        lines = links.convert(lines, o.link_style == "inline", o.link_style == "beginning")
+        # numbers of rows are given once: what the links are joined to must be what they came from
+        lines = links.convert(materialize(lines, "lines"), o.link_style == "inline", o.link_style == "beginning", o.keep_unreferenced)
         lines = materialize(lines, "linked")
+    elif o.on(23):
+        lines = materialize(lines, "lines")
     lines = regions(lines)
     lines = display_math(lines) if o.on(21) else lines.withColumn("math", F.lit(None).cast("string"))
     lines = kinds(inline_rules(lines, o), o)
@@ -203,7 +216,5 @@ def normalize(docs: DataFrame, options: Options | None = None) -> DataFrame:
     if o.on(15):
         out = out.withColumn("text", F.concat(F.regexp_replace("text", r"(?U)(\s*\n)?\s*\z", ""), F.lit("\n\n")))
         out = out.withColumn("text", F.when(is_blank(F.col("text")), F.lit("\n")).otherwise(F.col("text")))
-    made = out.withColumnRenamed("text", "made")
-    both = given.join(made, "doc_id", "left")
-    result = F.when(F.col("text").isNull(), F.lit(None)).otherwise(F.coalesce("made", F.lit("\n")))
-    return both.select("doc_id", result.alias("text"), F.coalesce(result != F.col("text"), F.lit(False)).alias("changed"))
+    made = out.select(F.col("doc_id.id").alias("doc_id"), "text", (F.md5("text") != F.col("doc_id.was")).alias("changed"))
+    return made.unionByName(docs.filter("text IS NULL").select("doc_id", "text", F.lit(False).alias("changed")))

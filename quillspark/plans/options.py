@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import warnings
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -46,7 +48,7 @@ CATALOGUE = {
 KEYWORDS = {word: n for n, (word, _) in CATALOGUE.items()}
 GROUPS = {"code-block-newlines": {6, 7}, "display-math-newlines": {21}, "emphasis": {25}}
 WIDTH = 60
-LOCAL_CONFIG = ".quillspark.yml"
+LOCAL_CONFIG, LOCAL_REPLACEMENTS = ".quillspark.yml", ".quillspark-replacements.yml"
 
 
 @dataclass(frozen=True)
@@ -59,6 +61,10 @@ class Options:
     replacements: tuple[Replacement, ...] = ()
     emoji_names: tuple[str, ...] | None = None
     emoji_max_distance: int = 4
+    #: Link definitions that nothing uses stay, after the others.
+    keep_unreferenced: bool = False
+    #: Sinks rewrite the files that documents came from.
+    overwrite: bool = False
 
     def on(self, rule: int) -> bool:
         return rule not in self.skip
@@ -99,8 +105,9 @@ def parse_skips(text: str | list) -> Skips:
     return out
 
 
-def resolve(config: dict | None = None, skip: str | None = None, width: int | None = None, reverse_emphasis: bool = False, replacements: list[Replacement] | None = None) -> Options:
-    """Options of a run: the command's width and skips over the configuration's.
+def resolve(config: dict | None = None, skip: str | None = None, width: int | None = None, reverse_emphasis: bool = False, replacements: list[Replacement] | None = None, overwrite: bool = False) -> Options:
+    """Options of a run: the command's width and skips over the configuration's; files are
+    overwritten if either says so.
 
     ``rules: {skip: all, include: [...]}``, ``{skip: [...]}`` and ``{include: [...]}`` are
     understood.  Inline links are off unless ``include`` names them.
@@ -119,27 +126,54 @@ def resolve(config: dict | None = None, skip: str | None = None, width: int | No
         more = parse_skips(skip)
         off |= more.rules
         flags = Skips(set(), flags.em_dash or more.em_dash, flags.guillemet or more.guillemet)
-    return Options(width or config.get("width") or WIDTH, frozenset(off), not flags.em_dash, not flags.guillemet, reverse_emphasis, tuple(replacements or ()))
+    return Options(width or config.get("width") or WIDTH, frozenset(off), not flags.em_dash, not flags.guillemet, reverse_emphasis, tuple(replacements or ()), keep_unreferenced=bool(config.get("keep_unreferenced")), overwrite=overwrite or bool(config.get("overwrite")))
 
 
-def read_config(folders: list[str]) -> dict:
-    """The first readable YAML file among those names in the folders."""
+def config_folder() -> Path:
+    """Where a user's configuration lives: below ``$XDG_CONFIG_HOME``, else ``~/.config``."""
+    base = os.environ.get("XDG_CONFIG_HOME")
+    return (Path(base) if base else Path.home() / ".config") / "quillspark"
+
+
+def read_config(folders: list[str] | None = None) -> dict:
+    """The first readable YAML configuration: the working folder's, then the user's.
+
+    A file that YAML rejects is passed over.  Other folders may be given instead; each is
+    searched for any of the three names."""
     import yaml
 
-    for folder in folders:
-        for name in (LOCAL_CONFIG, "config.yml", "config.yaml"):
-            path = Path(folder).expanduser() / name
-            try:
-                found = yaml.safe_load(path.read_text()) if path.is_file() else None
-            except (yaml.YAMLError, UnicodeDecodeError):
-                continue
-            if isinstance(found, dict):
-                return found
+    if folders is None:
+        paths = [Path(LOCAL_CONFIG), config_folder() / "config.yml", config_folder() / "config.yaml"]
+    else:
+        paths = [Path(f).expanduser() / name for f in folders for name in (LOCAL_CONFIG, "config.yml", "config.yaml")]
+    for path in paths:
+        try:
+            found = yaml.safe_load(path.read_text()) if path.is_file() else None
+        except (yaml.YAMLError, UnicodeDecodeError):
+            continue
+        if isinstance(found, dict):
+            return found
     return {}
 
 
+def replacements_file(config: dict, given: str | None = None) -> str | None:
+    """The file to read: the one given, the configuration's, the working folder's, the user's."""
+    if given or config.get("replacements_file"):
+        return given or config["replacements_file"]
+    found = [p for p in (Path(LOCAL_REPLACEMENTS), config_folder() / "replacements.yml") if p.is_file()]
+    return str(found[0]) if found else None
+
+
+def load_replacements(config: dict, spark=None, given: str | None = None, wanted: bool | None = None) -> list[Replacement]:
+    """Replacements of a run.  ``wanted`` (the command) wins over the configuration's
+    ``replacements: true|false``; without either they apply if a file is found."""
+    wanted = config.get("replacements") if wanted is None else wanted
+    path = replacements_file(config, given) if wanted is None or wanted else None
+    return read_replacements(path, spark) if path and Path(path).expanduser().is_file() else []
+
+
 def read_replacements(path: str, spark=None) -> list[Replacement]:
-    """A YAML list of replacements; entries whose pattern Java rejects are left out."""
+    """A YAML list of replacements; an entry whose pattern Java rejects is left out with a warning."""
     import yaml
 
     items = yaml.safe_load(Path(path).expanduser().read_text()) or []
@@ -153,7 +187,8 @@ def read_replacements(path: str, spark=None) -> list[Replacement]:
     def good(r: Replacement) -> bool:
         try:
             compile_(r.java[0])
-        except Exception:
+        except Exception as e:  # whatever the gateway raises for a bad pattern
+            warnings.warn(f"replacement {r.name!r} is skipped, its pattern is invalid: {type(e).__name__}", stacklevel=3)
             return False
         return True
 

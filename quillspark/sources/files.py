@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.sources.scratch import materialize
+
 #: Folders never searched: any whose path holds one of these.
 SKIPPED = ("vendor", "build", ".git", "node_modules")
 
@@ -40,6 +42,34 @@ def read_stream_text(spark: SparkSession, text: str) -> DataFrame:
     return spark.createDataFrame([("-", text)], "doc_id string, text string")
 
 
+def overwrite_files(result: DataFrame) -> DataFrame:
+    """Rewrite the files of changed documents, whose ``doc_id`` is their path, in any file system
+    that Arrow knows; give back how many and, sorted, which.
+
+    A text is written beside its file and then moved over it, so a reader sees the old or the new
+    one whole, and a task that runs again writes the same.  The result is read from a scratch
+    table: a file must not be read again once it is being rewritten."""
+    import pyarrow as pa
+
+    def run(batches):
+        from urllib.parse import unquote
+
+        from pyarrow import fs
+
+        for b in batches:
+            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                where, local = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+                local = unquote(local)
+                with where.open_output_stream(local + ".new") as out:
+                    out.write(text.encode())
+                where.move(local + ".new", local)
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["doc_id"])
+
+    changed = materialize(result.filter("changed").select(F.col("doc_id").cast("string").alias("doc_id"), "text"), "changed")
+    done = materialize(changed.mapInArrow(run, "doc_id string"), "overwritten")
+    return done.agg(F.count(F.lit(1)).alias("modified"), F.sort_array(F.collect_list("doc_id")).alias("documents"))
+
+
 def write_changed(result: DataFrame, path: str) -> DataFrame:
     """Write changed documents; give back how many and, sorted, which."""
     changed = result.filter("changed")

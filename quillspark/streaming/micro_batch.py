@@ -22,11 +22,10 @@ def arriving_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def normalize_stream(docs: DataFrame, out: str, checkpoint: str, options: Options | None = None, once: bool = True) -> StreamingQuery:
     """Append every batch's changed documents to Parquet, each batch in a folder of its
-    own, so that a batch run again replaces what it wrote."""
+    own, so that a batch run again replaces what it wrote.  Texts that share an id all stay."""
 
     def batch(df: DataFrame, number: int) -> None:
-        one = df.dropDuplicates(["doc_id"])
-        normalize(one, options).filter("changed").write.mode("overwrite").parquet(f"{out}/batch={number}")
+        normalize(df, options).filter("changed").write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

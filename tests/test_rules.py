@@ -38,6 +38,7 @@ RULES = [
     (R.reversed_emphasis, "__b__", "**b**"),
     (R.reversed_emphasis, "*i*", "_i_"),
     (R.liquid_tags, "{%tag%} `{%x%}` {%- if a  -%}", "{% tag %} `{%x%}` {%- if a -%}"),
+    (R.liquid_tags, "{%  tag   a=b  %}", "{% tag   a=b %}"),
     (R.line_endings, "a\r\nb\rc", "a\nb\nc\n"),
 ]
 
