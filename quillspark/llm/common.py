@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import sys
 import tempfile
@@ -22,10 +23,12 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
     The cluster names the folder in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests, one machine) is a temporary folder made.
+    unset on a single machine (tests) is a temporary folder made; on a cluster it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|\Z)", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="quillspark-"))
             atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
@@ -93,6 +96,12 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def small_enough(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows, read no further than that."""
-    return df.limit(rows + 1).count() <= rows
+def small_enough(df: DataFrame, rows: int, size: int = 32_000_000) -> bool:
+    """Whether a table has at most ``rows`` rows of at most ``size`` bytes in all, read no further
+    than those rows.  An array's entry counts 32 bytes."""
+    each = F.lit(0).cast("long")
+    for name, kind in df.dtypes:
+        c = F.col(f"`{name}`")
+        each += F.coalesce(F.octet_length(c) if kind in ("string", "binary") else F.size(c) * 32 if kind.startswith("array") else F.lit(0), F.lit(0)) + 8
+    n, total = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(each), F.lit(0))).first()
+    return n <= rows and total <= size
