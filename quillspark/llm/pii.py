@@ -11,7 +11,9 @@ Candidates of high worth are added as spans of the seed's kind.
 
 from __future__ import annotations
 
+import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,7 +25,8 @@ from quillspark.llm.common import discard, lean, small_enough, stored, table
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, MIN_SEEDS, PRIOR, PATTERN_BAR, INSTANCE_BAR = 3, 3, 1.0, 0.5, 0.7
-CONTEXT_CHARS = 80
+#: Scores are rounded before they are compared, so that the order of a sum does not decide.
+DIGITS_KEPT = 9
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -34,7 +37,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[^0-9]")
 #: Shapes that a context may prove: spelt-out addresses, colon-separated addresses, bare numbers.
 LOOSE = (
-    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}(?:\x20?\(at\)\x20?|\x20?\[at\]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}(?:(?:\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63})+")),
+    (0, re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?\(at\)\x20?|\x20?\[at\]\x20?|\x20at\x20)[A-Za-z0-9-]++(?:(?:\x20?\(dot\)\x20?|\x20?\[dot\]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)+")),
     (1, re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){2,7}:?[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])")),
     (2, re.compile(r"(?<![0-9+.-])[0-9]{4}(?:[\x20.-]?[0-9]){8,15}(?![0-9])")),
     (3, re.compile(r"(?<![0-9+.(-])\(?[0-9]{2,5}\)?(?:[\x20./-]{1,2}[0-9]{2,5}){1,4}(?![0-9])")),
@@ -80,10 +83,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def contexts(text: str, start: int) -> list[str]:
-    """The last two and the last three words before a place, digits as ``#``."""
-    before = [re.sub(r"[0-9]", "#", w) for w in WORDS.findall(text[max(0, start - CONTEXT_CHARS) : start].lower())]
-    return [" ".join(before[-n:]) for n in (2, 3) if len(before) >= n]
+class Contexts:
+    """The lexical patterns before places of one text: its last two and last three words there,
+    whole ones however long, but for one that runs into the place; digits count as ``#``."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, [m.span() for m in WORDS.finditer(text)]
+
+    def __call__(self, start: int) -> list[str]:
+        k = bisect_left(self.words, (start, 0))
+        before = [re.sub(r"[0-9]", "#", self.text[s : min(e, start)].lower()) for s, e in self.words[max(0, k - 3) : k]]
+        return [self.named(" ".join(before[-n:])) for n in (2, 3) if len(before) >= n]
+
+    @staticmethod
+    def named(pattern: str) -> str:
+        """Itself, or a digest where it is long: patterns are only ever compared."""
+        return pattern if len(pattern) <= 200 else "md5:" + hashlib.md5(pattern.encode("utf-8", "surrogatepass")).hexdigest()
 
 
 def value_of(kind: int, text: str) -> str:
@@ -118,8 +133,9 @@ SEEN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32(
 ADDED = "_base array<struct<kind:int,start:int,end:int>>, _seen array<struct<kind:int,start:int,end:int,value:string,seed:boolean,other:boolean,patterns:array<string>>>"
 
 
-def extract(docs: DataFrame) -> DataFrame:
-    """Keep the columns of ``docs`` and add ``_base`` spans and ``_seen`` instances."""
+def extract(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """The ``carry`` columns in a struct ``_carry`` (so that their names cannot clash), the text,
+    ``_base`` spans and ``_seen`` instances."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +143,17 @@ def extract(docs: DataFrame) -> DataFrame:
             for k in range(0, whole.num_rows, 512):
                 b = whole.slice(k, 512)
                 base, seen = [], []
-                for text in b.column(b.num_columns - 1).to_pylist():
+                for text in b.column(1).to_pylist():
                     text = text or ""
                     found = base_spans(text)
                     loose = candidates(text, found)
+                    before = Contexts(text) if found or loose else None
                     base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
-                    seen.append([{"kind": k, "start": s, "end": e, "value": value_of(k, text[s:e]), "seed": seed, "other": not seed and is_other(k, text[s:e]), "patterns": contexts(text, s)} for part, seed in ((found, True), (loose, False)) for k, s, e in part])
-                yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(base, pa.list_(SPAN)), pa.array(seen, pa.list_(SEEN))], [*b.schema.names[:-1], "_base", "_seen"])
+                    seen.append([{"kind": k, "start": s, "end": e, "value": value_of(k, text[s:e]), "seed": seed, "other": not seed and is_other(k, text[s:e]), "patterns": before(s)} for part, seed in ((found, True), (loose, False)) for k, s, e in part])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(SPAN)), pa.array(seen, pa.list_(SEEN))], ["_carry", "_base", "_seen"])
 
-    kept = docs.drop("_base", "_seen", "_pii_text", "_row")
-    return kept.withColumn("_pii_text", F.col("text")).mapInArrow(run, T.StructType(kept.schema.fields + T.StructType.fromDDL(ADDED).fields))
+    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry"), F.col("text").alias("_text"))
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields[:1] + T.StructType.fromDDL(ADDED).fields))
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -156,12 +173,12 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         known = F.col("worth") >= INSTANCE_BAR
         sums = [F.count(F.when(known, 1)).alias("known"), F.sum(F.when(known, F.col("worth")).otherwise(0.0)).alias("good"), F.count(F.when(F.col("other"), 1)).alias("bad")]
         patterns = worth.groupBy("kind", "pattern").agg(*sums).filter(F.col("known") >= MIN_SEEDS)
-        patterns = patterns.select("kind", "pattern", (F.col("good") / (F.col("good") + F.col("bad") + PRIOR)).alias("p")).filter(F.col("p") >= PATTERN_BAR)
+        patterns = patterns.select("kind", "pattern", F.round(F.col("good") / (F.col("good") + F.col("bad") + PRIOR), DIGITS_KEPT).alias("p")).filter(F.col("p") >= PATTERN_BAR)
         if small_enough(patterns, 100_000):
             patterns = F.broadcast(patterns)
         lit = worth.filter("NOT seed AND NOT other").join(patterns, ["kind", "pattern"])
         miss = F.exp(F.sum(F.log1p(-F.least(F.col("p"), F.lit(1 - 1e-9)))))
-        values = lit.groupBy("kind", "value").agg((1 - miss).alias("w"))
+        values = lit.groupBy("kind", "value").agg(F.round(1 - miss, DIGITS_KEPT).alias("w"))
         if small_enough(values, 100_000):
             values = F.broadcast(values)
         before = worth
@@ -171,17 +188,9 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     return worth.filter(~F.col("seed")).groupBy("kind", "value").agg(F.max("worth").alias("worth"))
 
 
-def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``carry`` columns of every row of ``docs``, ``base`` and ``spans``.
-
-    Both are arrays of ``struct<kind, start, end>`` by kind, then start; ``spans`` holds base
-    and discovered ones, which never overlap base.  A null or empty text has none; equal
-    rows are treated alike; an empty table gives an empty result.
-    """
-    want = list(dict.fromkeys([*carry, "text"]))
-    rows = extract(docs.select(*want))
-    rows = rows if "text" in carry else rows.drop("text")
-    rows = stored(rows.withColumn("_row", F.monotonically_increasing_id()), "pii_rows")
+def _found(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """``_carry, base, spans`` of every row."""
+    rows = stored(extract(docs, carry).withColumn("_row", F.monotonically_increasing_id()), "pii_rows")
     seen = rows.select("_row", F.explode("_seen").alias("s")).select("_row", "s.*")
     edges = seen.select("kind", "value", "seed", "other", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.min("other").alias("other"))
     good = score_graph(edges).filter(F.col("worth") >= INSTANCE_BAR).select("kind", "value")
@@ -193,34 +202,46 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         added = F.broadcast(added)
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     both = rows.join(added, "_row", "left")
-    return both.select(*carry, F.sort_array("_base").alias("base"), F.sort_array(F.concat("_base", F.coalesce("_added", none))).alias("spans"))
+    return both.select("_carry", F.sort_array("_base").alias("base"), F.sort_array(F.concat("_base", F.coalesce("_added", none))).alias("spans"))
+
+
+def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``carry`` columns of every row of ``docs``, ``base`` and ``spans``.
+
+    Both are arrays of ``struct<kind, start, end>`` by kind, then start; ``spans`` holds base
+    and discovered ones, which never overlap base.  A null or empty text has none; equal
+    rows are treated alike; an empty table gives an empty result; other columns are ignored.
+    """
+    return _found(docs, carry).select("_carry.*", "base", "spans")
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of personal data replaced by its kind in brackets."""
+    """``docs`` with every span of personal data replaced by its kind in brackets.
+
+    All rows and columns stay, whatever their names; a null text stays null."""
     names = tuple(docs.columns)
-    found = find(docs, names)
+    marked = _found(docs, names).select(F.col("_carry.text").alias("_text"), "spans", "_carry")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("text")
             out = []
-            for text, spans in zip(b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for text, spans in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 parts, last = [], 0
                 for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
                     if s["start"] >= last:
                         parts += [text[last : s["start"]], f"[{KINDS[s['kind']].upper()}]"]
                     last = max(last, s["end"])
                 out.append("".join([*parts, text[last:]]) if spans else text)
-            cols = list(b.columns[:-1])
-            cols[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(cols, b.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], ["_text", "_carry"])
 
-    return found.drop("base").mapInArrow(run, docs.select(*names).schema)
+    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("_carry", docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_carry")).schema[0].dataType)])
+    done = marked.mapInArrow(run, schema)
+    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_carry.`{c}`").alias(c) for c in names])
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``find`` over ``documents``: counts and a digest of base spans, and all spans."""
     found = find(table(spark, sf_dir, "documents"))
     names = F.array(*[F.lit(k) for k in KINDS])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
