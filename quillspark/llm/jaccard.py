@@ -11,13 +11,17 @@ that differ in at most one token, found through one-deletion neighbourhoods.
 2. ``choose_plans``: per size band, the plan of least index entries under which every
    document can be allotted enough.  Bands are powers of two, so these are a few rows.
 3. ``signatures``: own-band segments are indexed; they and, for sets small in their band,
-   those of the band below are probed.  Signatures that one node alone has are dropped.
+   those of the band below are probed.  Signatures that one node alone has are dropped.  A
+   signature that very many sets share is counted by partial aggregation and its count sent to
+   its rows, so that they never meet in one task.
 4. ``probes``: what a set may be allotted for nothing, by segments that it alone has, is
    taken off its need; the rest is taken from its rarest shared segments.
 5. ``candidate groups`` are components over bucket stars, a row per signature kept; pairs
    inside a group are verified exactly, in blocks, by a matrix product over shared tokens.
 
 No bucket emits its pairs, no text or set is cut, and only band statistics reach the driver.
+Shingles are compared by 64-bit hashes of their words: "exact" means exact but for collisions of
+these, which for two given sets of a thousand shingles have a chance below 1e-13.
 """
 
 from __future__ import annotations
@@ -27,13 +31,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import discard, lean, small_enough, stored, table
-from quillspark.llm.components import connected_components
+from quillspark.llm.components import connected_components, join_each
 
 SHINGLE, PERCENT = 5, 80
+#: One in SHARE signature entries is looked at to tell which signatures are hot; more than HOT of
+#: them make it so.  That decides how a bucket is counted, not what is found.
+SHARE, HOT = 256, 200
 #: segments per token at a band's upper end, and whether segments may be allotted 2
 PLANS = ((0.28, False), (0.4, False), (0.7, False), (1.5, False), (6.0, False), (0.14, True), (0.25, True), (0.6, True), (3.0, True))
 BLOCK, COLUMNS, CACHE_WORDS = 512, 8192, 400_000
@@ -102,8 +109,13 @@ def n_segments(band: int, plan: int) -> int:
     return max(1, int(np.ceil(PLANS[plan][0] * 2 ** (band + 1))))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A digest of a row's id and text: rows of one key are equal."""
+    return F.unhex(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("-")), F.lit(":"), F.coalesce(text, F.lit("")))))
+
+
 def profile(docs: DataFrame, salt: int) -> DataFrame:
-    """``doc_id, n_shingles, node, check, own, low``; node is null for the empty set."""
+    """``doc_id, n_shingles, node, check, own, low, row_key``; node is null for the empty set."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,13 +129,15 @@ def profile(docs: DataFrame, salt: int) -> DataFrame:
                     size.append(len(s))
                     node.append(node_of(s, salt) if len(s) else None)
                     check.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
-                    can = {o: [allotment(s, band, p, salt) for p in range(len(PLANS))] for band, o, _ in (roles(len(s)) if len(s) else [])}
+                    spread = mix(s + np.uint64(salt + 1) * C[1]) >> np.uint64(32)
+                    can = {o: [allotted(spread, band, p) for p in range(len(PLANS))] for band, o, _ in (roles(len(s)) if len(s) else [])}
                     own.append(can.get(True))
                     low.append(can.get(False))
                 ints = pa.list_(pa.int32())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.binary()), pa.array(own, ints), pa.array(low, ints)], ["doc_id", "n_shingles", "node", "check", "own", "low"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(size, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.binary()), pa.array(own, ints), pa.array(low, ints), b.column(2)], ["doc_id", "n_shingles", "node", "check", "own", "low", "row_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, node long, check binary, own array<int>, low array<int>")
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), "text", row_key(doc_id, F.col("text")).alias("row_key")).mapInArrow(run, "doc_id long, n_shingles long, node long, check binary, own array<int>, low array<int>, row_key binary")
 
 
 def node_of(tokens: np.ndarray, salt: int) -> int:
@@ -132,8 +146,11 @@ def node_of(tokens: np.ndarray, salt: int) -> int:
 
 def allotment(tokens: np.ndarray, band: int, plan: int, salt: int) -> int:
     """The most that the set's segments can be allotted under a plan."""
-    m = n_segments(band, plan)
-    held = np.bincount(((mix(tokens + np.uint64(salt + 1) * C[1]) >> np.uint64(32)) % np.uint64(m)).astype(np.int64))
+    return allotted(mix(tokens + np.uint64(salt + 1) * C[1]) >> np.uint64(32), band, plan)
+
+
+def allotted(spread: np.ndarray, band: int, plan: int) -> int:
+    held = np.bincount((spread % np.uint64(n_segments(band, plan))).astype(np.int64))
     return int(np.minimum(held, 2).sum() if PLANS[plan][1] else np.count_nonzero(held))
 
 
@@ -209,10 +226,23 @@ def set_signatures(tokens: np.ndarray, band: int, own: bool, plan: int, salt: in
 
 def candidate_stars(sigs: DataFrame, rows: DataFrame, plans: dict[int, int]) -> DataFrame:
     """``(a, b)``: nodes joined to a leader of each bucket that some set must probe."""
+    sigs = stored(sigs, "signatures")
+    looked = sigs.select("sig").filter(F.pmod(F.xxhash64("sig", "node", "meta"), F.lit(SHARE)) == 0)
+    hot = stored(looked.groupBy("sig").agg(F.count(F.lit(1)).alias("seen")).filter(F.col("seen") > HOT).select("sig"), "hot")
     bucket = Window.partitionBy("sig")
-    shared = sigs.select("*", F.count(F.lit(1)).over(bucket).alias("cost"), (F.min("node").over(bucket) < F.max("node").over(bucket)).alias("two"), F.max(F.col("meta").bitwiseAND(1)).over(bucket).alias("indexed"))
-    shared = shared.filter("two AND indexed = 1").select("sig", "node", "cost", F.col("meta").bitwiseAND(1).alias("own"), F.shiftright("meta", 3).alias("seg"), (1 + F.shiftright("meta", 2).bitwiseAND(1)).alias("allot"))
+    stats = {"cost": F.count(F.lit(1)), "lo": F.min("node"), "hi": F.max("node"), "indexed": F.max(F.col("meta").bitwiseAND(1))}
+    if hot.limit(1).count():
+        few = F.broadcast(hot) if small_enough(hot, 200_000) else hot
+        counts = sigs.join(few, "sig").groupBy("sig").agg(*[c.alias(k) for k, c in stats.items()])
+        counts = stored(counts.filter("lo < hi AND indexed = 1"), "hot_counts")
+        crowded = sigs.join(F.broadcast(counts) if small_enough(counts, 200_000) else counts, "sig")
+        sparse = sigs.join(few, "sig", "left_anti")
+        shared = sparse.select("*", *[c.over(bucket).alias(k) for k, c in stats.items()]).unionByName(crowded.select("sig", "node", "meta", *stats))
+    else:
+        shared = sigs.select("*", *[c.over(bucket).alias(k) for k, c in stats.items()])
+    shared = shared.filter("lo < hi AND indexed = 1").select("sig", "node", "cost", F.col("meta").bitwiseAND(1).alias("own"), F.shiftright("meta", 3).alias("seg"), (1 + F.shiftright("meta", 2).bitwiseAND(1)).alias("allot"))
     shared = stored(shared, "shared")
+    discard(sigs)
     # what each node needs and can be allotted in its two bands under the chosen plans
     size, share = F.col("n_shingles"), (100 - PERCENT, 100 + PERCENT)
     band = F.floor(F.log2(size.cast("double") + 0.5)).cast("int")
@@ -309,10 +339,11 @@ def verify_blocks(rows: DataFrame) -> DataFrame:
     return rows.select("grp", "i", "j", "block", "node", "n", "tokens").mapInArrow(run, "node long, links long, root long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs(doc_id, text)``.
+def classes(docs: DataFrame) -> DataFrame:
+    """``row_key, doc_id, n_shingles, group_id, least, n_links`` for every row of ``docs(doc_id, text)``.
 
-    Sets without tokens link with nothing.  Equal rows are documents of their own, linked
+    Rows of one ``group_id`` reach each other by links; ``least`` is the smallest doc_id among
+    them.  Sets without tokens link with nothing.  Equal rows are documents of their own, linked
     with each other; a null doc_id is never a component's smallest; other columns are
     ignored; an empty table gives an empty result.
     """
@@ -330,8 +361,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tops = groups.select(F.col("component").alias("node"), "component").distinct()
     members = stored(groups.unionByName(tops), "candidates")
     sets = rows.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
-    sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"))
-    wanted = members.join(sizes, "component").join(sets, "node").select(F.col("component").alias("grp"), "node", "n", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"), F.col("least").alias("want_id"))
+    sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    wanted = join_each(members, sizes, "component").join(sets, "node").select(F.col("component").alias("grp"), "node", "n", "blocks", F.col("least").alias("want_id"))
     wanted = stored(wanted, "wanted")
     few = F.broadcast(wanted) if small_enough(wanted, 100_000) else wanted
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, F.col("doc_id").eqNullSafe(F.col("want_id")))
@@ -355,13 +386,44 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     ids = sets.join(comps, "node", "left").join(links, "node", "left").select("node", "n", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
-    least = ids.filter("links > 0").groupBy("component").agg(F.min("least").alias("top"))
-    ids = ids.join(least, "component", "left").select("node", F.coalesce("top", "least").alias("component_id"), (F.col("links") + F.col("n") - 1).alias("n_links"))
-    out = rows.select("doc_id", "n_shingles", "node").join(ids, "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    ids = stored(ids, "near_ids")
+    top = ids.groupBy("component").agg(F.min("least").alias("top"))
+    ids = join_each(ids, top, "component").select("node", "component", F.col("top").alias("least"), (F.col("links") + F.col("n") - 1).alias("n_links"))
+    out = rows.select("row_key", "doc_id", "n_shingles", "node").join(ids, "node", "left")
+    out = stored(out.select("row_key", "doc_id", "n_shingles", F.col("component").alias("group_id"), F.coalesce("least", "doc_id").alias("least"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near_classes")
+    for done in (rows, stars, members, wanted, found, ids):
+        discard(done)
+    return out
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, n_links`` for every row of ``docs``: see ``classes``."""
+    return classes(docs).select("doc_id", "n_shingles", F.col("least").alias("component_id"), "n_links")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay if each class of linked documents keeps one: that of smallest
+    doc_id (null last), then of smallest digest; one of them where rows are equal.
+
+    It goes by rows, not by ids: rows that share an id, or have none, stay or go each by its own
+    text.  Documents without words all stay.  All columns are kept.
+    """
+    found = classes(docs).filter("group_id IS NOT NULL")
+    best = found.groupBy("group_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key")).alias("best"), F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    known = join_each(found.select("group_id", "row_key"), best, "group_id").select("row_key", (F.col("row_key") == F.col("best.row_key")).alias("stays"))
+    # a key's rows are equal, so that one of them is enough
+    known = stored(known.groupBy("row_key").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("rows")).filter("NOT stays OR rows > 1"), "near_copies")
+    few = F.broadcast(known) if small_enough(known, 200_000) else known
+    names = list(docs.columns)
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), row_key(doc_id, F.col("text")).alias("row_key"))
+    every = keyed.join(few, "row_key", "left")
+    once = every.filter("stays").dropDuplicates(["row_key"])
+    return every.filter("stays IS NULL").unionByName(once).select("row.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of ``documents``."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 

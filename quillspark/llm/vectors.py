@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import discard, lean, small_enough, stored, table
-from quillspark.llm.components import connected_components
+from quillspark.llm.components import connected_components, join_each
 
 THRESHOLD, TARGET = 0.98, 0.99
 #: The sample that codebooks and visits are fitted on, by hash order: rows, and rows for a code where
@@ -325,8 +325,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, target: fl
     links = found.filter("links > 0").groupBy("node").agg(F.sum("links").alias("links"))
     comps = connected_components(found.filter("root >= 0").select(F.col("node").alias("a"), F.col("root").alias("b")))
     mine = classes.join(comps, "node", "left").join(links, "node", "left").select("label", "key", "n", "least", F.coalesce("component", "node").alias("component"), F.coalesce("links", F.lit(0)).alias("links"))
+    mine = stored(mine, "vector_ids")
     least = mine.groupBy("component").agg(F.min("least").alias("component_id"))
-    mine = mine.join(least, "component").select("label", "key", "component_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
+    mine = join_each(mine, least, "component").select("label", "key", "component_id", (F.col("links") + F.col("n") - 1).alias("n_links"))
     out = rows.select("vec_id", "label", "key").join(mine, ["label", "key"], "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
