@@ -52,7 +52,11 @@ def offset(source: Column, seed: str = SEED) -> Column:
 
 
 def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] = WEIGHTS, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, source_size, target, copies`` and the ``carry`` columns.
+    """``doc_id, source, size, source_size, target, copies`` and, in a struct ``row``, the ``carry``
+    columns, whatever their names.
+
+    Within a source all documents expect the same number of copies, ``target / source_size``, so
+    that the prefix sum of expected copies is a document's place times that rate.
 
     A null or empty text has size 0; a source without words has target 0 and its rows get
     no copies; a null source is a source of its own, last in order; equal rows are each
@@ -60,7 +64,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] =
     first), then the text's hash, so that reruns agree.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.md5(F.coalesce("text", F.lit(""))).alias("_tie"), *[F.col(c) for c in carry])
+    base = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), F.md5(F.coalesce("text", F.lit(""))).alias("_tie"), *([F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row")] if carry else []))
     base = stored(base, "mix_sizes")
     keys = [F.col("_source").asc_nulls_first(), "_size", "_id", "_tie"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,7 +72,7 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] =
     ranged = stored(ranged.drop("_tie"), "mix_order").withColumn("_part", F.shiftright("_at", 33))
     discard(base)
     held = ranged.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"), F.sum("_size").alias("words"))
-    held = stored(held.coalesce(1), "mix_parts")
+    held = stored(held, "mix_parts")
     sizes = held.groupBy(F.col("_source").alias("source")).agg(F.sum("words").alias("source_size"))
     share = targets(sizes, weights, cap).withColumnRenamed("source", "s_source")
     upto = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)
@@ -81,10 +85,11 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), weights: tuple[int, ...] =
     rank = F.col("before") + F.col("_at") - F.col("first") + 1
     u = offset(F.col("_source"), seed)
     copies = F.floor(rank * rate + u) - F.floor((rank - 1) * rate + u)
-    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"), *[c for c in carry if c not in ("doc_id", "source")])
+    return out.select(F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"), *(["row"] if carry else []))
 
 
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of ``documents``: the words taken of each."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
