@@ -7,8 +7,9 @@ label, and a soft threshold keeps few features.  The same model then points at t
 offending sentences.  Features are a sentence's distinct words and their first four and six
 characters, so that inflected and compound forms share what was learnt.
 
-Training uses a bounded sample of labelled rows (``SAMPLE`` per label, by hash order), each
-class weighted back to its share of all training labels.  Scoring covers every row.
+Training uses a bounded sample of labelled rows (``SAMPLE`` per label, by hash order, whole texts of
+``SAMPLE_BYTES`` in all), each class weighted back to its share of all training labels.  Scoring
+covers every row.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +29,8 @@ from quillspark.llm.common import lean, table
 
 #: The bound of the training sample: rows taken of label 1 and of label 0.
 SAMPLE = (1000, 2000)
+#: Rows beyond these bytes of text, in hash order, are not taken either.
+SAMPLE_BYTES = 48_000_000
 MIN_DOCS, MAX_FEATURES, STEPS, RATE, SPARSITY = 3, 50_000, 150, 0.1, 3e-4
 #: ASCII only, so that it holds for UTF-8 bytes: sentence ends to line feeds, other marks to spaces.
 MARKS = bytes(10 if chr(b) in ".!?\n" else 32 if b < 128 and not chr(b).isalnum() and chr(b) != "'" else b for b in range(256))
@@ -118,7 +121,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] =
         part = one.filter(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
     # at most sum(sample) rows; a repeated doc_id brings its first text only
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    upto = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # over the picked rows only
+    rows = rows.withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(upto)).filter(F.col("bytes") <= SAMPLE_BYTES).orderBy("doc_id").collect()
     got = Counter(r.toxic for r in rows)
     return [r.text or "" for r in rows], [r.toxic for r in rows], [share[r.toxic] / got[r.toxic] for r in rows]
 
@@ -127,7 +132,8 @@ def score(docs: DataFrame, model: tuple[float, dict[str, float]]) -> DataFrame:
     """All columns of ``docs`` and ``tox_score``, ``tox_worst`` (its highest sentence) and
     ``tox_spans`` (columns of these names are replaced): code-point ranges of sentences at 0.5 or more.
 
-    A null or empty text is one empty sentence.  Row by row, no shuffle.
+    A null or empty text is one empty sentence; equal rows score alike; an empty table gives an
+    empty result.  Row by row, no shuffle.
     """
     bias, weight = model
 
@@ -169,6 +175,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, dict[str, float]]:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score`` of ``documents`` by a model of those ``labels`` that are not held out."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.col("tox_worst").alias("worst_sentence"), F.size("tox_spans").alias("n_offending"))
