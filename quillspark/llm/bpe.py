@@ -4,7 +4,7 @@ A sentencepiece BPE model is serialised straight from a rank file: each vocabula
 becomes a piece whose bytes are mapped to printable characters, scored by its negative
 rank, so that "merge the best-scored pair" is "merge the pair of lowest rank".  The
 normaliser is the identity.  Ids equal ranks; one unknown piece, which no byte reaches,
-follows them.  Decoding maps ids back to bytes.
+follows them.  Decoding maps ids to the model's pieces and their characters back to bytes.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.chunks import ChunkCache, slices
+from quillspark.llm.chunks import CHUNKED, ChunkCache, slices
 from quillspark.llm.common import lean, table, worker_cache
 
 
@@ -76,7 +76,19 @@ class BpeEncoder(ChunkCache):
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_model(read_ranks(ranks)))
         self.split = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        super().__init__(np.dtype("<u4"), self._learn, self._direct, keep=150_000)
+        self.bytes_of = {c: b for b, c in enumerate(byte_characters())}
+        self.texts: dict[int, bytes] = {}
+        super().__init__(np.dtype("<u4"), self._learn, self._direct, keep=150_000, chunked=pattern in CHUNKED)
+
+    def decode(self, ids: bytes) -> bytes:
+        """What packed ids stand for, by the inverse of the pieces' byte map."""
+        found = np.frombuffer(ids, "<u4").tolist()
+        try:
+            return b"".join(map(self.texts.__getitem__, found))
+        except KeyError:
+            for i in set(found).difference(self.texts):
+                self.texts[i] = bytes(map(self.bytes_of.__getitem__, self.sp.id_to_piece(i)))
+            return b"".join(map(self.texts.__getitem__, found))
 
     def _pretokens(self, text: str) -> list[str]:
         return [piece for piece, _ in self.split.pre_tokenize_str(text)]
@@ -98,7 +110,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_cache(f"bpe:{ranks}:{pattern}", lambda: BpeEncoder(ranks, pattern))
+        enc = encoder(ranks, pattern)
         for whole in batches:
             for b in slices(whole, 1):
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(enc.encode(b.column(1)), pa.binary())], ["doc_id", "ids"])
@@ -106,42 +118,51 @@ def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
 
-def decode(tokens: DataFrame, ranks: str) -> DataFrame:
-    """Append ``decoded BINARY``, the bytes that ``ids`` stand for."""
+def encoder(ranks: str, pattern: str) -> BpeEncoder:
+    return worker_cache(f"bpe:{ranks}:{pattern}", lambda: BpeEncoder(ranks, pattern))
+
+
+def decode(tokens: DataFrame, ranks: str, pattern: str) -> DataFrame:
+    """``tokens(doc_id, ids)`` and ``decoded BINARY``, the bytes that ``ids`` stand for, null for null.
+    The pattern does not matter to them: with it a worker's model serves both ways."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = worker_cache(f"ranks:{ranks}", lambda: read_ranks(ranks)).__getitem__
+        enc = encoder(ranks, pattern)
         for b in batches:
-            texts = [b"".join(map(vocab, np.frombuffer(raw.as_buffer(), "<u4").tolist())) if raw.is_valid else None for raw in b.column(1)]
+            texts = [enc.decode(raw.as_buffer()) if raw.is_valid else None for raw in b.column(1)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``encode`` and ``decode`` in one pass of one worker: ``(doc_id, ids, decoded)``."""
+    """``encode`` and ``decode`` in one pass of one worker: ``(doc_id, ids, decoded)``.
+
+    A null text counts as empty; equal rows give equal rows; other columns are ignored; an empty
+    table gives an empty result; whole texts are encoded.
+    """
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = worker_cache(f"bpe:{ranks}:{pattern}", lambda: BpeEncoder(ranks, pattern))
-        vocab = worker_cache(f"ranks:{ranks}", lambda: read_ranks(ranks)).__getitem__
+        enc = encoder(ranks, pattern)
         for whole in batches:
             for b in slices(whole, 1):
                 ids = enc.encode(b.column(1))
-                texts = [b"".join(map(vocab, np.frombuffer(raw, "<u4").tolist())) for raw in ids]
+                texts = [enc.decode(raw) for raw in ids]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary, decoded binary")
 
 
 def digest(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """Encode, decode again, and reduce both to hashes."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256``: ``round_trip`` reduced to hashes."""
     both = round_trip(docs, ranks, pattern)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``digest`` of ``documents``."""
     import public_tokenizers
 
     return digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

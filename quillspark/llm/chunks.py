@@ -8,6 +8,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+# Pre-token patterns, as published with their vocabularies, for which chunks may be
+# encoded apart.  Whatever else splits a text, it is encoded whole.
+CHUNKED = (
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+    r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s",
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+",
+)
 #: The longest chunk that a worker remembers.
 CACHE_CHARS = 32
 #: Texts encoded at once: rows, and bytes beyond which a smaller slice is taken.
@@ -29,15 +36,16 @@ def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 class ChunkCache:
     """Encodes texts; most chunks of a text have been met before.
 
-    The pre-token pattern of these vocabularies always ends a pre-token before a space
+    The pre-token pattern that ``CHUNKED`` names always ends a pre-token before a space
     that a non-space follows and around a lone line feed, so the pieces between such
     places encode alike in any context.  Texts with other white space, with runs of it or
     with NUL are encoded directly.  Each distinct chunk of a slice is looked up once; two
     generations of remembered chunks bound the memory.
     """
 
-    def __init__(self, dtype: np.dtype, learn: Callable[[list[str]], dict[str, bytes]], direct: Callable[[str], bytes], keep: int = 200_000):
-        """``keep``: distinct chunks remembered per generation."""
+    def __init__(self, dtype: np.dtype, learn: Callable[[list[str]], dict[str, bytes]], direct: Callable[[str], bytes], keep: int = 200_000, chunked: bool = True):
+        """``keep``: distinct chunks remembered per generation; ``chunked``: whether texts may be cut."""
+        self.chunked = chunked
         self.dtype, self.learn, self.direct, self.keep = dtype, learn, direct, keep
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -45,6 +53,8 @@ class ChunkCache:
     def encode(self, texts: pa.StringArray) -> list[bytes]:
         """Packed ids of each text; a null text has none."""
         texts = pc.fill_null(texts, "")
+        if not self.chunked:
+            return [self.direct(t) for t in texts.to_pylist()]
         odd = pc.match_substring_regex(texts, IRREGULAR)
         plain = iter(self._plain(texts.filter(pc.invert(odd))))
         return [self.direct(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.to_pylist(), strict=True)]

@@ -56,12 +56,13 @@ class ChunkEncoder(ChunkCache):
         self.tok.encode_special_tokens = True
         self.wide = self.tok.get_vocab_size() > 0xFFFF
         self.code = "I" if self.wide else "H"
-        super().__init__(np.dtype("<u4") if self.wide else np.dtype("<u2"), self._learn, lambda text: self._pack(self._ids(text)), keep=400_000)
+        # texts are cut, and lone words taken a short way, only where the file's settings allow it
+        pre, model = self.tok.pre_tokenizer, self.tok.model
+        plain = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and type(model).__name__ == "BPE" and not model.dropout
+        plain = plain and self.tok.normalizer is None and all(t.special for t in self.tok.get_added_tokens_decoder().values())
+        super().__init__(np.dtype("<u4") if self.wide else np.dtype("<u2"), self._learn, lambda text: self._pack(self._ids(text)), keep=400_000, chunked=plain)
         self.shown = {b: c for b, c in enumerate(byte_characters())}
-        self.marks = {c: self._ids(c)[0] for c in ".,"}
-        # the short cut is taken only where the file's settings are those it assumes
-        pre = self.tok.pre_tokenizer
-        self.byte_level = type(pre).__name__ == "ByteLevel" and not pre.add_prefix_space and self.tok.normalizer is None
+        self.marks = {c: self._ids(c)[0] for c in ".,"} if plain else {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -75,7 +76,7 @@ class ChunkEncoder(ChunkCache):
         model, plain = self.tok.model.tokenize, PLAIN.fullmatch
         rest = []
         for c in chunks:
-            m = plain(c) if self.byte_level else None
+            m = plain(c)
             if m is None:
                 rest.append(c)
                 continue
@@ -328,6 +329,7 @@ def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
 
 
 def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` written to a token store and read back from it."""
     import public_tokenizers
 
     path = scratch_dir(spark, "token_store")
