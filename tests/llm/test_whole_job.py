@@ -1,5 +1,6 @@
 """Corpus operators do the whole of their job, not a part that is easy to compare."""
 
+import hashlib
 import math
 from collections import Counter
 
@@ -10,12 +11,13 @@ DATA = "/root/testdata/sf0.001"
 
 
 def plain_verdicts(urls, by_rule):
-    """Scores and verdicts of whole URLs, by counting."""
+    """Scores and verdicts of whole URLs, by counting; a fifth calibrates and does not train."""
     from quillspark.llm.urls import END, ORDER, PRIOR, START
 
     padded = [START * ORDER + (u or "") + END for u in urls]
     rows = [[t[k : k + ORDER + 1] for k in range(len(t) - ORDER)] for t in padded]
-    count = {v: Counter(g for gs, r in zip(rows, by_rule, strict=True) if r == v for g in gs) for v in ("allow", "block")}
+    held = [int(hashlib.md5((u or "").encode()).hexdigest()[:8], 16) % 5 == 0 for u in urls]
+    count = {v: Counter(g for gs, r, h in zip(rows, by_rule, held, strict=True) if r == v and not h for g in gs) for v in ("allow", "block")}
     every = sorted({g for gs in rows for g in gs})
     prob = {}
     for v in count:
@@ -30,7 +32,7 @@ def plain_verdicts(urls, by_rule):
             below = {g: (own[g] + PRIOR * (1 / kinds[g[:k]] if below is None else below[g[1:]])) / (ctx[g[:k]] + PRIOR) for g in {g[ORDER - k :] for g in every}}
         prob[v] = below
     score = [round(sum(math.log(prob["allow"][g]) - math.log(prob["block"][g]) for g in gs) / len(gs), 9) for gs in rows]
-    mean = {v: [s for s, r in zip(score, by_rule, strict=True) if r == v] for v in count}
+    mean = {v: [s for s, r, h in zip(score, by_rule, held, strict=True) if r == v and h] or [s for s, r in zip(score, by_rule, strict=True) if r == v] for v in count}
     bar = round(sum(sum(x) / len(x) for x in mean.values()) / 2, 9) if all(mean.values()) else 0
     return score, [r or ("allow" if s >= bar else "block") for s, r in zip(score, by_rule, strict=True)]
 
@@ -100,10 +102,10 @@ def test_every_candidate_has_a_class():
     import itertools
     import re
 
-    from quillspark.llm.secrets import CLASSES
+    from quillspark.llm.secrets import CLASSES  # name, patterns that all must match, bits
 
     for parts in itertools.chain.from_iterable(itertools.permutations(["a", "Z", "7", "-", "b", "0"], n) for n in range(1, 7)):
-        assert any(re.search(p, "".join(parts) * 20) for _, p, _ in CLASSES), parts
+        assert any(all(re.search(p, "".join(parts) * 20) for p in ps) for _, ps, _ in CLASSES), parts
 
 
 def test_secrets_of_all_alphabets(spark):
