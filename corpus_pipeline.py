@@ -1,14 +1,17 @@
 """A corpus pipeline: five stages over ``documents``, each written and read again.
 
 toxicity       documents that the model scores 0.5 or more go
-near_join      one document of each group of near copies stays, the one of smallest doc_id
+near_join      one document of each class of near copies stays, the one of smallest doc_id
 personal_data  spans of personal data become their kind in brackets
 mixing         sources come near their target weights; a document may repeat or go
 byte_bpe       texts become token ids, checked by decoding them again
 
 Toxicity learns from the ``labels`` beside the documents, so SQL cannot express the whole;
-tests hold every stage against a plain version.  A doc_id names a document: where rows share
-one, equal texts are kept once and different texts each.
+tests hold every stage against a plain version.
+
+Every stage goes by rows: rows that share a doc_id or have none are documents of their own, and
+equal rows are copies of each other.  Nulls in any column, empty tables and further columns, by
+whatever names, are allowed; all stages but the last return the columns of their input.
 """
 
 from __future__ import annotations
@@ -18,37 +21,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm import bpe, jaccard, mixing, pii, toxicity
-from quillspark.llm.common import scratch_dir, small_enough, stored, table
+from quillspark.llm.common import discard, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; a null or empty text scores as one empty sentence."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).filter("tox_score < 0.5").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = stored(jaccard.near_duplicates(docs).select("doc_id", "component_id"), "near_copies")
-    lost = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    lost = F.broadcast(lost) if small_enough(lost, 200_000) else lost
-    rest = docs.join(lost, "doc_id", "left_anti")
-    again = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1 AND doc_id IS NOT NULL").select("doc_id")
-    if not again.limit(1).count():
-        return rest.select(docs.columns)
-    again = F.broadcast(again) if small_enough(again, 200_000) else again
-    once = rest.join(again, "doc_id", "left_semi").withColumn("_text", F.md5("text")).dropDuplicates(["doc_id", "_text"])
-    return rest.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    """One row of each class of near copies: that of smallest doc_id.  Texts without words all stay."""
+    return jaccard.representatives(docs).select(docs.columns)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, personal data replaced by its kind in brackets; ``n_chars`` follows the text, and
+    stays where the text is null."""
     return pii.redact(docs).withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """As many copies of each row as the mix takes; rows without words have size 0 and go."""
     mixed = mixing.mix(docs, tuple(docs.columns)).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    copies = F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
+    return mixed.select("row", copies).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row; a null text is empty."""
     return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -63,11 +64,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; a stage's table goes once the next one is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_dir(spark, f"stage_{name}")
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), f"stage_{name}")
+        discard(before)
     return docs
 
 
