@@ -19,6 +19,8 @@ CHUNKED = (
 CACHE_CHARS = 32
 #: Texts encoded at once: rows, and bytes beyond which a smaller slice is taken.
 ROWS, BYTES = 2048, 4_000_000
+#: A letter or digit and a mark after it are in different pre-tokens.
+MARK = r"([\pL\pN])([.,])"
 IRREGULAR = r"[ \n][ \n]|[\x00\t\x0b\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
@@ -37,8 +39,8 @@ class ChunkCache:
     """Encodes texts; most chunks of a text have been met before.
 
     The pre-token pattern that ``CHUNKED`` names always ends a pre-token before a space
-    that a non-space follows and around a lone line feed, so the pieces between such
-    places encode alike in any context.  Texts with other white space, with runs of it or
+    that a non-space follows, around a lone line feed and between a letter or digit and a mark, so the
+    pieces between such places encode alike in any context.  Texts with other white space, with runs of it or
     with NUL are encoded directly.  Each distinct chunk of a slice is looked up once; two
     generations of remembered chunks bound the memory.
     """
@@ -60,7 +62,8 @@ class ChunkCache:
         return [self.direct(t.as_py()) if o else next(plain) for t, o in zip(texts, odd.to_pylist(), strict=True)]
 
     def _plain(self, texts: pa.StringArray) -> list[bytes]:
-        marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n\x00")
+        marked = pc.replace_substring_regex(texts, MARK, "\\1\x00\\2")
+        marked = pc.replace_substring(pc.replace_substring(marked, " ", "\x00 "), "\n", "\x00\n\x00")
         split = pc.split_pattern(marked, "\x00")
         coded = split.flatten().dictionary_encode()
         packed = self._find(coded.dictionary.to_pylist())
@@ -79,15 +82,15 @@ class ChunkCache:
         got = list(map(self.young.get, chunks))
         if None in got:
             lost = [k for k, g in enumerate(got) if g is None]
-            for k in lost:
-                got[k] = self.old.get(chunks[k])
-            learnt = self.learn([chunks[k] for k in lost if got[k] is None])
-            for k in lost:
-                c = chunks[k]
-                if got[k] is None:
-                    got[k] = learnt[c]
-                if len(c) <= CACHE_CHARS:
-                    self.young[c] = got[k]
+            names = [chunks[k] for k in lost]
+            found = list(map(self.old.get, names))
+            learnt = self.learn([c for c, g in zip(names, found, strict=True) if g is None])
+            found = [learnt[c] if g is None else g for c, g in zip(names, found, strict=True)]
+            for k, g in zip(lost, found, strict=True):
+                got[k] = g
+            self.young.update(zip(names, found, strict=True))
+            for c in [c for c in names if len(c) > CACHE_CHARS]:
+                del self.young[c]
             if len(self.young) > self.keep:
                 self.old, self.young = self.young, {}
         return got

@@ -19,7 +19,7 @@ shards.  Ids go through one range exchange on doc_id, two bytes each, and are pa
 from __future__ import annotations
 
 import heapq
-import re
+import os
 import zlib
 from struct import pack as pack_ids
 from collections.abc import Iterator
@@ -39,10 +39,6 @@ MAX_BITS = 16
 SHARD_SCHEMA = "part int, seq int, part_start bigint, n bigint, doc_ids array<bigint>, n_tokens array<int>, checkpoints binary, payload binary"
 
 
-#: One word of Latin letters, which is one pre-token, and a mark that is another.
-PLAIN = re.compile("( ?)([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,]?)")
-
-
 # ---------------------------------------------------------------- tokenizing
 
 
@@ -50,6 +46,7 @@ class ChunkEncoder(ChunkCache):
     """Ids of a tokenizer file of the tokenizers library."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -60,9 +57,8 @@ class ChunkEncoder(ChunkCache):
         pre, model = self.tok.pre_tokenizer, self.tok.model
         plain = type(pre).__name__ == "ByteLevel" and pre.use_regex and not pre.add_prefix_space and type(model).__name__ == "BPE" and not model.dropout
         plain = plain and self.tok.normalizer is None and all(t.special for t in self.tok.get_added_tokens_decoder().values())
-        super().__init__(np.dtype("<u4") if self.wide else np.dtype("<u2"), self._learn, lambda text: self._pack(self._ids(text)), keep=400_000, chunked=plain)
+        super().__init__(np.dtype("<u4") if self.wide else np.dtype("<u2"), self._learn, lambda text: self._pack(self._ids(text)), keep=700_000, chunked=plain)
         self.shown = {b: c for b, c in enumerate(byte_characters())}
-        self.marks = {c: self._ids(c)[0] for c in ".,"} if plain else {}
 
     def _ids(self, text: str) -> list[int]:
         return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -73,18 +69,16 @@ class ChunkEncoder(ChunkCache):
     def _learn(self, chunks: list[str]) -> dict[str, bytes]:
         """Encode unseen chunks: a lone word by the model itself, others in one call."""
         out: dict[str, bytes] = {}
-        model, plain = self.tok.model.tokenize, PLAIN.fullmatch
-        rest = []
+        model, code, rest = self.tok.model.tokenize, self.code, []
         for c in chunks:
-            m = plain(c)
-            if m is None:
+            word = c[1:] if c[:1] == " " else c
+            if not word.isalpha():  # letters alone are one pre-token
                 rest.append(c)
                 continue
-            space, word, mark = m.groups()
-            if not word.isascii():
+            if not c.isascii():
                 word = word.encode().decode("latin-1").translate(self.shown)
-            ids = [t.id for t in model("\u0120" + word if space else word)]
-            out[c] = pack_ids(f"<{len(ids) + len(mark)}{self.code}", *ids, *map(self.marks.__getitem__, mark))
+            ids = [t.id for t in model("\u0120" + word if c[0] == " " else word)]
+            out[c] = pack_ids(f"<{len(ids)}{code}", *ids)
         for k in range(0, len(rest), 2000):
             part = rest[k : k + 2000]
             for c, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -118,8 +112,12 @@ def id_counts(tokens: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for wide, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                got = np.bincount(np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2"))
+            wide = b.column(0).to_numpy(zero_copy_only=False)
+            for size, kind in ((4, "<u4"), (2, "<u2")):
+                part = b.column(1).filter(pa.array(wide == (size == 4)))
+                if not len(part):
+                    continue
+                got = np.bincount(np.frombuffer(b"".join(part.to_pylist()), kind))
                 if len(got) > len(total):
                     got[: len(total)] += total
                     total = got
