@@ -12,8 +12,8 @@ Format of a token store (a directory):
                block whose absolute bit offset in the payload is a little-endian
                unsigned 64-bit checkpoint.  Blocks decode independently.
 
-Ids are counted over the whole corpus before any is written, so one codebook serves all
-shards.  Ids go through one range exchange on doc_id, two bytes each, and are packed after it.
+Ids are counted over the whole corpus, by each task as it makes them, before any is written, so one
+codebook serves all shards.  Ids go through one range exchange on doc_id, two bytes each, and are packed after it.
 """
 
 from __future__ import annotations
@@ -92,41 +92,51 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> Data
     A null text counts as empty.  Ids are little-endian, two bytes each, or four
     if the vocabulary needs them; ``end_id`` closes each document if given.
     """
+    return counted(docs, tokenizer, end_id).filter("counts IS NULL").drop("counts")
+
+
+def counted(docs: DataFrame, tokenizer: str, end_id: int | None = None) -> DataFrame:
+    """As ``tokenize``, and a last row of each task, without ids, whose ``counts`` say how often each
+    id occurs in the task (little-endian, eight bytes each)."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_cache(f"chunks:{tokenizer}", lambda: ChunkEncoder(tokenizer))
         tail = b"" if end_id is None else np.asarray([end_id], enc.dtype).tobytes()
+        total = np.zeros(0, np.int64)
+        names = ["doc_id", "wide", "ids", "counts"]
         for whole in batches:
             for b in slices(whole, 1):
-                ids = enc.encode(b.column(1))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.wide] * b.num_rows), pa.array([x + tail for x in ids], pa.binary())], ["doc_id", "wide", "ids"])
+                ids = [x + tail for x in enc.encode(b.column(1))]
+                total = summed(total, np.bincount(np.frombuffer(b"".join(ids), enc.dtype)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([enc.wide] * b.num_rows), pa.array(ids, pa.binary()), pa.nulls(b.num_rows, pa.binary())], names)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([enc.wide]), pa.nulls(1, pa.binary()), pa.array([total.astype("<i8").tobytes()], pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary, counts binary")
+
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, wide boolean, ids binary")
+def summed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of two arrays of counts, the shorter one filled with zeros."""
+    out = np.zeros(max(len(a), len(b)), np.int64)
+    out[: len(a)] += a
+    out[: len(b)] += b
+    return out
 
 
-def id_counts(tokens: DataFrame) -> DataFrame:
-    """``(id, n)`` over the whole corpus: each task sums its own rows first."""
+def id_counts(counts: DataFrame) -> DataFrame:
+    """``(id, n)`` over the whole corpus from ``counts(counts BINARY)`` of tasks."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            wide = b.column(0).to_numpy(zero_copy_only=False)
-            for size, kind in ((4, "<u4"), (2, "<u2")):
-                part = b.column(1).filter(pa.array(wide == (size == 4)))
-                if not len(part):
-                    continue
-                got = np.bincount(np.frombuffer(b"".join(part.to_pylist()), kind))
-                if len(got) > len(total):
-                    got[: len(total)] += total
-                    total = got
-                else:
-                    total[: len(got)] += got
+            for raw in b.column(0).to_pylist():
+                total = summed(total, np.frombuffer(raw, "<i8"))
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[seen])], ["id", "n"])
 
-    return tokens.select("wide", "ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return counts.select("counts").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 # ------------------------------------------------------------------ Huffman
@@ -185,31 +195,39 @@ class Codebook:
         steps = np.left_shift(1, self.width - bits)
         first = np.concatenate([[0], np.cumsum(steps)[:-1]]) if len(bits) else np.zeros(0, np.int64)
         size = int(ids.max()) + 1 if len(ids) else 1
-        self.code, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.int64)
-        self.code[ids] = (first >> (self.width - bits)).astype(np.uint64)
+        #: of each id: its code at the top of a 64-bit word, and its length
+        self.left, self.bits = np.zeros(size, np.uint64), np.zeros(size, np.uint8)
+        self.left[ids] = first.astype(np.uint64) << np.uint64(64 - self.width)
         self.bits[ids] = bits
         #: by the next ``width`` bits: id and length in one integer
         self.table = np.zeros(1 << self.width, np.int64)
         filled = np.repeat(ids << 6 | bits, steps)
         self.table[: len(filled)] = filled
 
-    def pack(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """Bits of ``ids`` from the highest bit on, and each block's bit offset."""
+    def pack(self, ids: np.ndarray, counts: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+        """Bits of ``ids`` from the highest bit on, and each block's bit offset.  ``counts`` gives
+        the ids of each document, which all start on a byte; else they are one document."""
         if not len(ids):
             return b"", np.zeros(0, np.uint64)
+        counts = np.array([len(ids)]) if counts is None else counts
         n = self.bits[ids]
-        end = np.cumsum(n)
-        at = end - n
-        word, room = at >> 6, 64 - (at & 63)
-        code = self.code[ids]
-        over = n - room  # bits that fall into the next word, if positive
-        here = np.where(over > 0, code >> np.maximum(over, 0).astype(np.uint64), code << np.maximum(-over, 0).astype(np.uint64))
-        starts = np.flatnonzero(np.diff(word, prepend=-1))
-        out = np.zeros(int(end[-1] + 63 >> 6) + 1, np.uint64)
-        out[word[starts]] = np.bitwise_or.reduceat(here, starts)
-        split = np.flatnonzero(over > 0)
-        out[word[split] + 1] |= code[split] << (64 - over[split]).astype(np.uint64)
-        return out.astype(">u8").tobytes()[: int(end[-1]) + 7 >> 3], at[::BLOCK].astype(np.uint64)
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        first = np.cumsum(counts) - counts
+        size = upto[first + counts] - upto[first] + 7 >> 3
+        start = np.cumsum(size) - size
+        at = upto[:-1] + np.repeat(8 * start - upto[first], counts)
+        word, off = at >> 6, (at & 63).astype(np.uint8)
+        code = self.left[ids]
+        starts = np.flatnonzero(word[1:] != word[:-1]) + 1
+        starts = np.concatenate([[0], starts])
+        out = np.zeros(int(size.sum() + 7 >> 3) + 1, np.uint64)
+        out[word[starts]] = np.bitwise_or.reduceat(code >> off, starts)
+        split = np.flatnonzero(off + n > 64)  # codes that end in the next word
+        out[word[split] + 1] |= code[split] << (64 - off[split]).astype(np.uint64)
+        blocks = -(-counts // BLOCK)
+        block = np.repeat(first, blocks) + BLOCK * (np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks))
+        return out.astype(">u8").tobytes()[: int(size.sum())], at[block].astype(np.uint64)
 
     def unpack(self, payload: bytes, offsets: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of all blocks, one after another; every step decodes one id of each block."""
@@ -232,14 +250,14 @@ class Codebook:
         return out
 
 
-def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
-    """Write ``tokens(doc_id, wide, ids)`` to a token store at ``path``.
+def write_store(tokens: DataFrame, counts: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
+    """Write ``tokens(doc_id, wide, ids)``, counted in ``counts(counts)``, to a token store at ``path``.
 
     The codebook is the only thing gathered at the driver: at most one row per id of
     the vocabulary.  Equal doc_ids are ordered by their ids' bytes; a null doc_id is first.
     """
     spark = tokens.sparkSession
-    rows = id_counts(tokens).collect()
+    rows = id_counts(counts).collect()
     lengths = code_lengths({r.id: r.n for r in rows}, max_bits)
     spark.createDataFrame([(i, n) for i, n in sorted(lengths.items())], "id int, bits int").coalesce(1).write.parquet(f"{path}/codebook")
 
@@ -256,18 +274,15 @@ def write_store(tokens: DataFrame, path: str, max_bits: int = MAX_BITS) -> None:
         size = 0
 
         def close() -> pa.RecordBatch:
-            start, marks = 0, []
-            for _, _, m, body in docs:
-                marks.append(m + np.uint64(8 * start))
-                start += len(body)
-            one = [[part], [seq], [before], [size], [[d[0] for d in docs]], [[d[1] for d in docs]], [np.concatenate(marks).astype("<u8").tobytes()], [b"".join(d[3] for d in docs)]]
+            n = np.array([len(d[1]) for d in docs])
+            payload, marks = book.pack(np.concatenate([d[1] for d in docs]), n)
+            one = [[part], [seq], [before], [size], [[d[0] for d in docs]], [n], [marks.astype("<u8").tobytes()], [payload]]
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(one, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()), strict=True)], SHARD_SCHEMA.replace(",", " ").split()[::2])
 
         for b in batches:
-            for doc, wide, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                ids = np.frombuffer(raw.as_buffer(), "<u4" if wide else "<u2")
-                body, marks = book.pack(ids)
-                docs.append((doc, len(ids), marks, body))
+            for doc, wide, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids = np.frombuffer(raw, "<u4" if wide else "<u2")
+                docs.append((doc, ids))
                 size += len(ids)
                 if size >= SHARD_TOKENS or len(docs) >= SHARD_DOCS:
                     yield close()
@@ -321,8 +336,8 @@ def encode_corpus(docs: DataFrame, tokenizer: str, end_id: int | None, path: str
     Defined cases: a null text is empty, an empty table gives an empty store, equal rows
     are each stored, further columns are ignored, and no text is cut.
     """
-    tokens = stored(tokenize(docs, tokenizer, end_id), "ids")
-    write_store(tokens, path, max_bits)
+    tokens = stored(counted(docs, tokenizer, end_id), "ids")
+    write_store(tokens.filter("counts IS NULL").drop("counts"), tokens.filter("counts IS NOT NULL"), path, max_bits)
     discard(tokens)
 
 
