@@ -17,7 +17,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,8 +134,9 @@ ADDED = "_base array<struct<kind:int,start:int,end:int>>, _seen array<struct<kin
 
 
 def extract(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """The ``carry`` columns in a struct ``_carry`` (so that their names cannot clash), the text,
-    ``_base`` spans and ``_seen`` instances."""
+    """The ``carry`` columns but the text in a struct ``_carry`` (so that their names cannot clash),
+    ``_text`` if it is carried, ``_base`` spans and ``_seen`` instances."""
+    keep = "text" in carry
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,10 +151,20 @@ def extract(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
                     before = Contexts(text) if found or loose else None
                     base.append([dict(zip(("kind", "start", "end"), s, strict=True)) for s in found])
                     seen.append([{"kind": k, "start": s, "end": e, "value": value_of(k, text[s:e]), "seed": seed, "other": not seed and is_other(k, text[s:e]), "patterns": before(s)} for part, seed in ((found, True), (loose, False)) for k, s, e in part])
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(SPAN)), pa.array(seen, pa.list_(SEEN))], ["_carry", "_base", "_seen"])
+                yield pa.RecordBatch.from_arrays([*b.columns[: 1 + keep], pa.array(base, pa.list_(SPAN)), pa.array(seen, pa.list_(SEEN))], ["_carry", *["_text"] * keep, "_base", "_seen"])
 
-    kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carry"), F.col("text").alias("_text"))
-    return kept.mapInArrow(run, T.StructType(kept.schema.fields[:1] + T.StructType.fromDDL(ADDED).fields))
+    kept = docs.select(packed(docs, carry).alias("_carry"), F.col("text").alias("_text"))
+    return kept.mapInArrow(run, T.StructType(kept.schema.fields[: 1 + keep] + T.StructType.fromDDL(ADDED).fields))
+
+
+def packed(docs: DataFrame, carry: tuple[str, ...]) -> Column:
+    """The carried columns but the text, in one."""
+    return F.struct(*([F.col(f"`{c}`") for c in carry if c != "text"] or [F.lit(None).cast("int").alias("none")]))
+
+
+def unpacked(carry: tuple[str, ...]) -> list[Column]:
+    """The carried columns again, in their order."""
+    return [F.col("_text").alias(c) if c == "text" else F.col(f"_carry.`{c}`").alias(c) for c in carry]
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -189,7 +200,7 @@ def score_graph(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def _found(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """``_carry, base, spans`` of every row."""
+    """``_carry, base, spans`` of every row, and ``_text`` if it is carried."""
     rows = stored(extract(docs, carry).withColumn("_row", F.monotonically_increasing_id()), "pii_rows")
     seen = rows.select("_row", F.explode("_seen").alias("s")).select("_row", "s.*")
     edges = seen.select("kind", "value", "seed", "other", F.explode("patterns").alias("pattern")).groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed"), F.min("other").alias("other"))
@@ -202,7 +213,7 @@ def _found(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
         added = F.broadcast(added)
     none = F.array().cast("array<struct<kind:int,start:int,end:int>>")
     both = rows.join(added, "_row", "left")
-    return both.select("_carry", F.sort_array("_base").alias("base"), F.sort_array(F.concat("_base", F.coalesce("_added", none))).alias("spans"))
+    return both.select("_carry", *["_text"] * ("text" in carry), F.sort_array("_base").alias("base"), F.sort_array(F.concat("_base", F.coalesce("_added", none))).alias("spans"))
 
 
 def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -212,7 +223,7 @@ def find(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     and discovered ones, which never overlap base.  A null or empty text has none; equal
     rows are treated alike; an empty table gives an empty result; other columns are ignored.
     """
-    return _found(docs, carry).select("_carry.*", "base", "spans")
+    return _found(docs, carry).select(*unpacked(carry), "base", "spans")
 
 
 def redact(docs: DataFrame) -> DataFrame:
@@ -220,7 +231,7 @@ def redact(docs: DataFrame) -> DataFrame:
 
     All rows and columns stay, whatever their names; a null text stays null."""
     names = tuple(docs.columns)
-    marked = _found(docs, names).select(F.col("_carry.text").alias("_text"), "spans", "_carry")
+    marked = _found(docs, names).select("_text", "spans", "_carry")
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,9 +246,8 @@ def redact(docs: DataFrame) -> DataFrame:
                 out.append("".join([*parts, text[last:]]) if spans else text)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), b.column(2)], ["_text", "_carry"])
 
-    schema = T.StructType([T.StructField("_text", T.StringType()), T.StructField("_carry", docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_carry")).schema[0].dataType)])
-    done = marked.mapInArrow(run, schema)
-    return done.select(*[F.col("_text").alias(c) if c == "text" else F.col(f"_carry.`{c}`").alias(c) for c in names])
+    schema = T.StructType([T.StructField("_text", T.StringType()), marked.schema["_carry"]])
+    return marked.mapInArrow(run, schema).select(*unpacked(names))
 
 
 def op4_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
