@@ -6,7 +6,9 @@ Patterns follow Java's dialect: ``(?U)`` gives Unicode classes, ``\\z`` is the t
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache, wraps
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ CODE_SPAN = r"`+[^`]*`+"
 SPANS = "array<struct<s:int,e:int>>"
 
 
+def built_once(build: Callable) -> Callable:
+    """A builder of columns by name, called once for equal arguments in one JVM.
+
+    A nested rule takes thousands of calls to the JVM to build, more than to plan it; every
+    micro-batch and every set of options would build the same again."""
+    made = lru_cache(maxsize=256)(lambda jvm, *args: build(*args))
+    return wraps(build)(lambda *args: made(SparkContext._gateway, *args))
+
+
 def bind(c: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value computed once.  Rules name their input many times, so that
     nesting one in another would otherwise copy the inner one as often."""

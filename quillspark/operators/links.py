@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.kernels import is_blank, spans, trim
+from quillspark.functions.kernels import built_once, is_blank, spans, trim
 from quillspark.functions.lines import in_code_span
 from quillspark.operators.classify import plain, regions
 from quillspark.operators.lines import rows_after, whole_doc
@@ -49,6 +49,12 @@ def is_definition_line(c: Column) -> Column:
     return trim(c).rlike(DEFINITION)
 
 
+@built_once
+def _hits(pattern: str, order: int) -> Column:
+    l = F.col("l")
+    return F.transform(spans(l, pattern), lambda x: F.struct(F.lit(order).alias("ord"), x["s"].alias("s"), x["e"].alias("e"), F.substring(l, x["s"] + 1, x["e"] - x["s"]).alias("hit")))
+
+
 def find_links(lines: DataFrame) -> DataFrame:
     """``(doc_id, n, ord, s, e, text, url, title, kind, key)`` of every link-like span.
 
@@ -58,12 +64,9 @@ def find_links(lines: DataFrame) -> DataFrame:
     l = F.col("l")
     body = lines.filter(plain() & l.contains("[") & ~is_definition_line(l)).select("doc_id", "n", "l")
 
-    def of(pattern: str, order: int) -> Column:
-        return F.transform(spans(l, pattern), lambda x: F.struct(F.lit(order).alias("ord"), x["s"].alias("s"), x["e"].alias("e"), F.substring(l, x["s"] + 1, x["e"] - x["s"]).alias("hit")))
-
-    body = body.withColumn("first", F.concat(of(INLINE, 0), of(REFERENCE, 1)))
+    body = body.withColumn("first", F.concat(_hits(INLINE, 0), _hits(REFERENCE, 1)))
     after = lambda x: F.substring(l, x["e"] + 1, F.lit(1))
-    bare = F.filter(of(IMPLICIT, 2), lambda x: ~F.exists("first", lambda p: (p["s"] <= x["s"]) & (x["s"] < p["e"])) & ~after(x).isin("[", "("))
+    bare = F.filter(_hits(IMPLICIT, 2), lambda x: ~F.exists("first", lambda p: (p["s"] <= x["s"]) & (x["s"] < p["e"])) & ~after(x).isin("[", "("))
     rows = body.withColumn("bare", bare).select("doc_id", "n", "l", F.explode(F.concat("first", "bare")).alias("x")).filter(~in_code_span(F.col("l"), F.col("x.s")))
     hit = F.col("x.hit")
     text = F.regexp_extract(hit, r"^\[([^\]]+)\]", 1)

@@ -13,11 +13,13 @@ text changed needs a join afterwards.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions import rules as R
-from quillspark.functions.kernels import is_blank, ltrim, rtrim, trim
+from quillspark.functions.kernels import built_once, is_blank, ltrim, rtrim, trim
 from quillspark.functions.lines import indent_of, is_deflist_item, is_fence, is_headline, is_list_item, is_preserved, is_quote, is_quote_blank, is_rule, quote_depth
 from quillspark.operators import emoji, links, lists, replacements, tables
 from quillspark.operators.classify import display_math, plain, regions, trailing_blanks_of_block
@@ -27,6 +29,12 @@ from quillspark.plans.options import Options
 from quillspark.sources.scratch import materialize
 
 
+@built_once
+def changed(rule: Callable[..., Column], *settings: bool) -> Column:
+    """The line after a rule on plain lines."""
+    return F.when(plain(), rule(F.col("l"), *settings)).otherwise(F.col("l"))
+
+
 def inline_rules(lines: DataFrame, o: Options) -> DataFrame:
     """Rules on the text of plain lines; ``raw`` keeps the line as it came."""
     lines = lines.withColumn("raw", F.col("l"))
@@ -38,21 +46,21 @@ def inline_rules(lines: DataFrame, o: Options) -> DataFrame:
         lines = emoji.emoji_names(lines, known, o.emoji_max_distance, ok & F.col("math").isNull())
     steps = []
     if o.on(24):
-        steps.append(lambda c: R.typography(c, o.em_dash, o.guillemet))
+        steps.append(changed(R.typography, o.em_dash, o.guillemet))
     if o.on(25):
-        steps += [R.italic, R.bold, R.strong_emphasis][::-1] if not o.reverse_emphasis else [R.reversed_emphasis]
+        steps += [changed(rule) for rule in ((R.reversed_emphasis,) if o.reverse_emphasis else (R.strong_emphasis, R.bold, R.italic))]
     if o.on(16):
-        steps.append(R.ial_spacing)
+        steps.append(changed(R.ial_spacing))
     if o.on(31):
-        steps.append(R.liquid_tags)
+        steps.append(changed(R.liquid_tags))
     if o.on(18):
-        steps.append(R.definition_spacing)
+        steps.append(changed(R.definition_spacing))
     for step in steps:  # one column at a time: nested, each pass would repeat the one before
-        lines = lines.withColumn("l", F.when(ok, step(F.col("l"))).otherwise(F.col("l")))
+        lines = lines.withColumn("l", step)
     if o.on(21):
         first, last = F.lag("math").over(doc_order()) == "open", F.lead("math").over(doc_order()) == "close"
         block = F.when(F.col("math").isin("open", "close"), "$$").when(first, ltrim(F.col("l"))).when(last, rtrim(F.col("l"))).otherwise(F.col("l"))
-        lines = lines.withColumn("l", F.when(F.col("math").isNotNull(), block).when(ok, R.inline_math(F.col("l"))).otherwise(F.col("l")))
+        lines = lines.withColumn("l", F.when(F.col("math").isNotNull(), block).otherwise(changed(R.inline_math)))
     if o.on(17):
         lines = lines.withColumn("l", F.when(F.col("fence").isNotNull(), R.code_language(F.col("l"))).otherwise(F.col("l")))
     return lines
@@ -105,20 +113,25 @@ def quote_rules(c: Column, o: Options) -> Column:
     return R.quote_spacing(c) if o.on(20) else c
 
 
-def fragments(lines: DataFrame, o: Options) -> DataFrame:
-    """Add ``frags``: the lines that a line becomes, tables apart."""
+@built_once
+def wrapped(width: int) -> Column:
+    """The lines that a long item, quote or paragraph becomes; any other line by itself."""
     l = F.col("l")
-    lines = lines.withColumn("l", F.when(F.col("kind") == "quote", quote_rules(l, o)).when(F.col("kind") == "head", R.header_spacing(l) if o.on(4) else l).when(F.col("kind") == "para", R.trailing(l) if o.on(2) else l).otherwise(l))
-    if not o.on(14):
-        return lines.withColumn("frags", F.array("l"))
     lead = F.regexp_extract(l, r"(?U)^(\s*(?:[-*+]|\d+\.)\s+)", 1)
-    item = wrap(F.regexp_extract(l, r"(?Ud)^\s*(?:[-*+]|\d+\.)\s+(.*)\z", 1), F.lit(o.width) - F.length(lead))
+    item = wrap(F.regexp_extract(l, r"(?Ud)^\s*(?:[-*+]|\d+\.)\s+(.*)\z", 1), F.lit(width) - F.length(lead))
     item = F.transform(item, lambda x, i: F.concat(F.when(i == 0, lead).otherwise(F.repeat(F.lit(" "), F.length(lead))), x))
     marks = F.regexp_extract(l, r"(?U)^(\s*>(?:\s*>)*)", 1)
-    quote = wrap(F.regexp_extract(l, r"(?Ud)^\s*>(?:\s*>)*\s*(.*)\z", 1), F.lit(o.width), F.concat(marks, F.lit(" ")))
-    long = F.length(rtrim(l)) > o.width
-    frags = F.when(long & (F.col("kind") == "list") & (lead != ""), item).when(long & (F.col("kind") == "quote"), quote).when(long & (F.col("kind") == "para"), wrap(trim(l), F.lit(o.width)))
-    return lines.withColumn("frags", F.coalesce(frags, F.array("l")))
+    quote = wrap(F.regexp_extract(l, r"(?Ud)^\s*>(?:\s*>)*\s*(.*)\z", 1), F.lit(width), F.concat(marks, F.lit(" ")))
+    long = F.length(rtrim(l)) > width
+    frags = F.when(long & (F.col("kind") == "list") & (lead != ""), item).when(long & (F.col("kind") == "quote"), quote).when(long & (F.col("kind") == "para"), wrap(trim(l), F.lit(width)))
+    return F.coalesce(frags, F.array("l"))
+
+
+def fragments(lines: DataFrame, o: Options) -> DataFrame:
+    """Add ``frags``: the lines that a line becomes, tables apart."""
+    l = F.col("l")
+    lines = lines.withColumn("l", F.when(F.col("kind") == "quote", quote_rules(l, o)).when(F.col("kind") == "head", R.header_spacing(l) if o.on(4) else l).when(F.col("kind") == "para", R.trailing(l) if o.on(2) else l).otherwise(l))
+    return lines.withColumn("frags", wrapped(o.width) if o.on(14) else F.array("l"))
 
 
 def drop_lines(lines: DataFrame, o: Options) -> DataFrame:
