@@ -119,6 +119,11 @@ def splice(c: Column, pattern: str, rewrite: Callable[[Column, Column, Column, C
     return F.when(c.rlike(pattern), F.array_join(made, "")).otherwise(c)
 
 
+def splice_outside(c: Column, pattern: str, protected: Column, rewrite: Callable[..., Column]) -> Column:
+    """``splice``, where ``rewrite`` is also given the protected spans, found once for all matches."""
+    return bind(protected, lambda safe: splice(c, pattern, lambda *found: rewrite(*found, safe)))
+
+
 def java_template(template: str, groups: dict[str, int] | int) -> str:
     """A replacement template of ``$1``, ``$name``, ``${n}`` for Java.
 

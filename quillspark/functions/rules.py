@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.kernels import CODE_SPAN, bind, inside, rtrim, spans, splice, squash, trim
+from quillspark.functions.kernels import CODE_SPAN, bind, inside, rtrim, spans, splice, splice_outside, squash, trim
 
 
 def line_endings(text: Column) -> Column:
@@ -26,14 +26,12 @@ def header_spacing(c: Column) -> Column:
 
 def ial_spacing(c: Column) -> Column:
     """16: attribute lists, outside code spans."""
-    code = spans(c, CODE_SPAN)
-
-    def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
+    def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
         colon = hit.startswith("{:")
         body = squash(F.regexp_replace(hit, r"^\{:?|\}\z", ""))
-        return F.when(inside(code, at), hit).when(colon, F.concat(F.lit("{: "), body, F.lit(" }"))).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
+        return F.when(inside(safe, at), hit).when(colon, F.concat(F.lit("{: "), body, F.lit(" }"))).otherwise(F.concat(F.lit("{"), body, F.lit("}")))
 
-    return splice(c, r"\{:?[^}]*\}", one)
+    return splice_outside(c, r"\{:?[^}]*\}", spans(c, CODE_SPAN), one)
 
 
 def code_language(c: Column) -> Column:
@@ -92,39 +90,37 @@ def typography(c: Column, em_dash: bool = True, guillemet: bool = True) -> Colum
 EMOJI = r":[a-zA-Z0-9_+-]+:"
 
 
+def code_and_emoji(c: Column) -> Column:
+    return F.concat(spans(c, CODE_SPAN), spans(c, EMOJI))
+
+
 def strong_emphasis(c: Column) -> Column:
     """25, first pass: any balanced triple of markers becomes ``__*text*__``."""
-    safe = F.concat(spans(c, CODE_SPAN), spans(c, EMOJI))
-
-    def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
+    def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
         opening, closing = F.left(hit, F.lit(3)), F.right(hit, F.lit(3))
         body = F.substring(hit, F.lit(4), F.length(hit) - 6)
         return F.when(inside(safe, at) | (closing != F.reverse(opening)), hit).otherwise(F.concat(F.lit("__*"), body, F.lit("*__")))
 
-    return splice(c, r"[_*]{3}.+?[_*]{3}", one)
+    return splice_outside(c, r"[_*]{3}.+?[_*]{3}", code_and_emoji(c), one)
 
 
 def bold(c: Column) -> Column:
     """25, second pass: ``**text**`` becomes ``__text__``."""
-    safe = F.concat(spans(c, CODE_SPAN), spans(c, EMOJI))
-
-    def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
+    def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
         third = F.substring(hit, 3, 1) == "*"
         keep = inside(safe, at) | (before == "*") | (third & (after == "*")) | (after == "_")
         return F.when(keep, hit).otherwise(F.concat(F.lit("__"), F.substring(hit, F.lit(3), F.length(hit) - 4), F.lit("__")))
 
-    return splice(c, r"\*\*.+?\*\*", one)
+    return splice_outside(c, r"\*\*.+?\*\*", code_and_emoji(c), one)
 
 
 def italic(c: Column) -> Column:
     """25, third pass: ``_text_`` becomes ``*text*`` unless a word or ``_`` adjoins."""
-    safe = F.concat(spans(c, CODE_SPAN), spans(c, EMOJI))
-
-    def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
+    def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
         keep = inside(safe, at) | before.rlike("[A-Za-z0-9_]") | after.rlike("[A-Za-z0-9_]")
         return F.when(keep, hit).otherwise(F.concat(F.lit("*"), F.substring(hit, F.lit(2), F.length(hit) - 2), F.lit("*")))
 
-    return splice(c, r"_[^_]+?_", one)
+    return splice_outside(c, r"_[^_]+?_", code_and_emoji(c), one)
 
 
 def bold_italic(c: Column) -> Column:
@@ -134,39 +130,35 @@ def bold_italic(c: Column) -> Column:
 
 def reversed_emphasis(c: Column) -> Column:
     """25 the other way round: bold is ``**``, italic is ``_``, both is ``_**text**_``."""
-    safe = lambda x: F.concat(spans(x, CODE_SPAN), spans(x, EMOJI))
-
     def both(x: Column) -> Column:
-        def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
+        def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
             balanced = F.right(hit, F.lit(3)) == F.reverse(F.left(hit, F.lit(3)))
-            return F.when(inside(safe(x), at) | ~balanced, hit).otherwise(F.concat(F.lit("_**"), F.substring(hit, F.lit(4), F.length(hit) - 6), F.lit("**_")))
+            return F.when(inside(safe, at) | ~balanced, hit).otherwise(F.concat(F.lit("_**"), F.substring(hit, F.lit(4), F.length(hit) - 6), F.lit("**_")))
 
-        return splice(x, r"[_*]{3}.+?[_*]{3}", one)
+        return splice_outside(x, r"[_*]{3}.+?[_*]{3}", code_and_emoji(x), one)
 
     def strong(x: Column) -> Column:
-        def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
-            keep = inside(safe(x), at) | before.rlike("[A-Za-z0-9_]") | after.rlike("[A-Za-z0-9_]")
+        def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
+            keep = inside(safe, at) | before.rlike("[A-Za-z0-9_]") | after.rlike("[A-Za-z0-9_]")
             return F.when(keep, hit).otherwise(F.concat(F.lit("**"), F.substring(hit, F.lit(3), F.length(hit) - 4), F.lit("**")))
 
-        return splice(x, r"__[^_]+?__", one)
+        return splice_outside(x, r"__[^_]+?__", code_and_emoji(x), one)
 
     def light(x: Column) -> Column:
-        def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
-            keep = inside(safe(x), at) | (before == "*") | (after == "*")
+        def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
+            keep = inside(safe, at) | (before == "*") | (after == "*")
             return F.when(keep, hit).otherwise(F.concat(F.lit("_"), F.substring(hit, F.lit(2), F.length(hit) - 2), F.lit("_")))
 
-        return splice(x, r"\*[^*]+?\*", one)
+        return splice_outside(x, r"\*[^*]+?\*", code_and_emoji(x), one)
 
     return bind(both(c), lambda x: bind(strong(x), light))
 
 
 def liquid_tags(c: Column) -> Column:
     """31: one space inside a tag's marks, outside code spans."""
-    code = spans(c, CODE_SPAN)
-
-    def one(hit: Column, before: Column, after: Column, at: Column) -> Column:
+    def one(hit: Column, before: Column, after: Column, at: Column, safe: Column) -> Column:
         opening, closing = F.regexp_extract(hit, r"^(\{%-?)", 1), F.regexp_extract(hit, r"^\{%-?.*?(-?%\})\z", 1)
         body = trim(F.regexp_extract(hit, r"(?d)^\{%-?(.*?)-?%\}\z", 1))
-        return F.when(inside(code, at), hit).when(body == "", F.concat(opening, F.lit(" "), closing)).otherwise(F.concat(opening, F.lit(" "), body, F.lit(" "), closing))
+        return F.when(inside(safe, at), hit).when(body == "", F.concat(opening, F.lit(" "), closing)).otherwise(F.concat(opening, F.lit(" "), body, F.lit(" "), closing))
 
-    return splice(c, r"\{%-?.*?-?%\}", one)
+    return splice_outside(c, r"\{%-?.*?-?%\}", spans(c, CODE_SPAN), one)
